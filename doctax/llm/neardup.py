@@ -11,7 +11,7 @@ threshold. The join finds all such pairs:
 * Small sets enumerate fixed-size subsets: two small sets that are similar share two of the first
   ``s - o + 2`` shingles, so each pair of those is one key. Up to which size a set is small is decided by
   cost, from the sizes of all sets and the lengths of the lists.
-* A 256-bit parity map of each set comes with it. Each shingle that only one of two sets has flips
+* A 512-bit parity map of each set comes with it. Each shingle that only one of two sets has flips
   one bit, so the number of different bits never exceeds the size of the symmetric difference: a
   pair above what the threshold allows is dropped, and no similar pair is.
 * Sets are compared exactly at last.
@@ -34,15 +34,17 @@ from .common import staged, table
 from .splits import connected_groups
 
 SKETCH_BITS = 21
-MAP_WORDS = 4
+MAP_WORDS = 8
 #: Shuffle, hashing and sorting of one key cost as much as so many hits in inverted lists.
 KEY_COST = 30.0
 #: Pairs of hits that are looked at in one go.
-BLOCK = 2_000_000
+BLOCK = 1 << 17
 #: Classes of equal sets up to this size are listed pair by pair; larger ones as pairs with their representative.
 COPY_PAIRS = 64
 #: The joining part works on about so many sets a task.
 SETS_A_PART = 50_000
+#: Sets, and pairs, that are compared in one task.
+SETS_A_BLOCK, PAIRS_A_BLOCK = 30_000, 500_000
 #: Ids that may be broadcast when the texts of candidate pairs are fetched; beyond, both sides are shuffled.
 BROADCAST_IDS = 100_000
 
@@ -226,7 +228,9 @@ def similar_candidates(data: dict[str, np.ndarray], threshold: float, boundary:
     maps = data["maps"].reshape(-1, MAP_WORDS)
     doc = np.repeat(np.arange(len(ids)), data["counts"])
     # one set for each class: the member with the smallest id
-    mark = mix(mix(maps[:, 0] ^ mix(maps[:, 1] ^ mix(maps[:, 2] ^ mix(maps[:, 3])))) ^ (data["keys"].astype(np.uint64) << np.uint64(32)) ^ (sizes.astype(np.uint64) << np.uint64(2)) ^ roles.astype(np.uint64))
+    mark = mix((data["keys"].astype(np.uint64) << np.uint64(32)) ^ (sizes.astype(np.uint64) << np.uint64(2)) ^ roles.astype(np.uint64))
+    for w in range(MAP_WORDS):
+        mark = mix(mark ^ maps[:, w])
     order = np.lexsort((ids, mark))
     first = np.ones(len(order), bool)
     first[1:] = mark[order][1:] != mark[order][:-1]
@@ -251,27 +255,29 @@ def similar_candidates(data: dict[str, np.ndarray], threshold: float, boundary:
     some = np.flatnonzero(hits > 0)
     probe, begin, hits = probe[some], begin[some], hits[some]
     upto = np.cumsum(hits)
+    # what belongs to an entry lies beside it, so that a list is read in one go
+    i_doc, i_size, i_last = doc[index].astype(np.int32), size[index].astype(np.int32), (size - position)[index].astype(np.int32)
+    p_doc, p_size = doc[probe].astype(np.int32), size[probe].astype(np.int32)
     at, found = 0, []
+    half = MAP_WORDS // 2
     while at < len(probe):
         done = upto[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(upto, done + block, "right")))
-        for sub in _steps(begin[at:stop], hits[at:stop], block):
-            which, here = sub
-            p, i = probe[at:stop][which], index[here]
-            a, b = doc[i], doc[p]
-            s, u = size[i], size[p]
-            ok = (s < u) | ((s == u) & (a < b))
+        for which, here in _steps(begin[at:stop], hits[at:stop], block):
+            a, s = i_doc[here], i_size[here]
+            b, u = p_doc[at:stop][which], p_size[at:stop][which]
+            overlap = np.ceil(share * (s + u) - 1e-9).astype(np.int32)
+            ok = (overlap <= i_last[here]) & ((s < u) | (a < b))
             if across:
                 ok &= roles[a] != roles[b]
-            p, i, a, b, s, u = p[ok], i[ok], a[ok], b[ok], s[ok], u[ok]
-            overlap = needed(s, u, threshold)
-            ok = position[i] <= s - overlap
-            a, b, most = a[ok], b[ok], (s + u - 2 * overlap)[ok]
-            differ = np.bitwise_count(maps[a, 0] ^ maps[b, 0]).astype(np.int64)
-            for w in range(1, MAP_WORDS):
-                differ += np.bitwise_count(maps[a, w] ^ maps[b, w])
-            ok = differ <= most
-            found.append(np.unique(a[ok] * len(ids) + b[ok]))
+            keep = np.flatnonzero(ok)
+            a, b, most = a[keep], b[keep], (s + u - 2 * overlap)[keep]
+            for words in (range(half), range(half, MAP_WORDS)):
+                for w in words:
+                    most = most - np.bitwise_count(maps[a, w] ^ maps[b, w])
+                keep = np.flatnonzero(most >= 0)
+                a, b, most = a[keep], b[keep], most[keep]
+            found.append(a.astype(np.int64) * len(ids) + b)
         at = stop
     if found:
         pairs = np.unique(np.concatenate(found))
@@ -317,26 +323,44 @@ def _labels_of_partitions(spark, parts: int) -> list[int]:
     return [found[p] for p in range(parts)]
 
 
-def _packed_sets(k: int, min_words: int):
+def pack(shingle: np.ndarray) -> bytes:
+    """The upper 40 bits of each shingle's hash, five bytes each."""
+    top = shingle >> np.uint64(24)
+    return (top & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (top >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n = len(blob) // 5
+    return np.frombuffer(blob, np.uint32, n).astype(np.int64) | (np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.int64) << 32)
+
+
+def _packed_sets(k: int, min_words: int, level):
+    """The shingles of each text, packed in the global order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = Sets(batch.column("words"), k, min_words)
-            ends = np.append(sets.start, len(sets.shingle))
-            blobs = [sets.shingle[ends[i] : ends[i + 1]].tobytes() for i in range(len(sets.start))]
+            rank = level.value[(sets.shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            shingle = sets.shingle[np.lexsort((sets.shingle, rank, sets.of))]
+            ends = np.append(sets.start, len(shingle))
+            blobs = [pack(shingle[ends[i] : ends[i + 1]]) for i in range(len(sets.start))]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(sets.rows)), pa.array(blobs, pa.binary())], ["id", "set"])
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = []
-        sizes = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            n.append(len(np.intersect1d(u, v, assume_unique=True)))
-            sizes.append(len(u) + len(v))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int32()), pa.array(sizes, pa.int32())], ["a", "b", "common", "both"])
+def common_shingles(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each pair of sets has in common."""
+    return np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(one, two, strict=True)], np.int64)
+
+
+def _compare(one: list[bytes], two: list[bytes], how, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common shingles, sum of sizes, and whether that is enough."""
+    both = np.array([(len(x) + len(y)) // 5 for x, y in zip(one, two, strict=True)], np.int64)
+    common = np.zeros(len(one), np.int64)
+    for at in range(0, len(one), 2000):
+        common[at : at + 2000] = how([unpack(x) for x in one[at : at + 2000]], [unpack(x) for x in two[at : at + 2000]])
+    return common, both, common >= threshold * (both - common) - 1e-9
 
 
 class SimilarSets:
@@ -370,8 +394,8 @@ class SimilarSets:
             rare = counts[np.searchsorted(mass, mass[-1] / 6)] if len(counts) else 0.0
             boundary = small_boundary(sizes, float(rare), threshold)
         self.boundary, self.sets = boundary, sum(sizes.values())
-        parts = _labels_of_partitions(spark, max(8, -(-self.sets // SETS_A_PART)))
-        shared = spark.sparkContext.broadcast(level)
+        parts = _labels_of_partitions(spark, max(4, -(-self.sets // SETS_A_PART)))
+        shared = self.level = spark.sparkContext.broadcast(level)
         across = role_col is not None
         packed = words.mapInArrow(_second_pass(k, min_words, threshold, boundary, shared, parts), "part int, " + ", ".join(f"{n} binary" for n in _PACKED))
         found = packed.repartition(len(parts), "part").mapInArrow(_third_pass(threshold, boundary, across), "a bigint, b bigint")
@@ -380,22 +404,49 @@ class SimilarSets:
         classes = keyed.groupBy("k1", "k2", "role").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
         self.members = keyed.join(classes, ["k1", "k2", "role"]).select("id", "role", "rep", "n")
 
-    def sets_of(self, pairs: DataFrame, packer) -> DataFrame:
-        """``pairs`` with ``set_a`` and ``set_b``, made from the texts of the ids in them only."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        ids = staged(ids, "ids")
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    def links(self, how=common_shingles) -> DataFrame:
+        """The candidates that are similar, their sets made once more from the texts of the ids in them only.
+
+        The ids fall into blocks; a set goes once to each pair of blocks and is compared there with all it
+        has to be. Where that would ship more than the pairs with their sets, pairs and sets are joined.
+        """
+        pairs, threshold = self.candidates, self.threshold
+        ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+        n_ids, n_pairs = ids.count(), pairs.count()
+        wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
         words = self.rows.join(wanted, "id", "left_semi").select("id", word_hashes("text").alias("words"))
-        sets = words.mapInArrow(packer(self.k, self.min_words), "id bigint, set binary").groupBy("id").agg(F.min("set").alias("set"))
-        sets = staged(sets, "sets")
-        one = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-        two = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        return pairs.join(one, "a").join(two, "b")
-
-    def links(self) -> DataFrame:
-        compared = self.sets_of(self.candidates, _packed_sets).mapInArrow(_overlaps, "a bigint, b bigint, common int, both int")
-        enough = F.col("common") >= self.threshold * (F.col("both") - F.col("common")) - 1e-9
-        return compared.where(enough)
+        sets = words.mapInArrow(_packed_sets(self.k, self.min_words, self.level), "id bigint, set binary")
+        schema = "a bigint, b bigint, common int, both int"
+
+        def result(a, b, one, two) -> pa.RecordBatch:
+            common, both, enough = _compare(one, two, how, threshold)
+            at = np.flatnonzero(enough)
+            columns = [pa.array(np.asarray(x)[at].astype(t)) for x, t in ((a, np.int64), (b, np.int64), (common, np.int32), (both, np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "common", "both"])
+
+        blocks = max(2, -(-n_ids // SETS_A_BLOCK), math.isqrt(n_pairs // PAIRS_A_BLOCK))
+        if blocks * n_ids > 2 * n_pairs:
+            sets = sets.groupBy("id").agg(F.min("set").alias("set"))
+            one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+
+            def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield result(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b")))
+
+            return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(joined, schema)
+
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+        key = lambda x, y: F.least(x, y) * blocks + F.greatest(x, y)
+        keyed = pairs.select(key(block("a"), block("b")).alias("key"), "a", "b")
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        sets = sets.select("id", "set", every.alias("other")).select(key(block("id"), F.col("other")).alias("key"), "id", "set")
+
+        def compared(_, left: pa.Table, right: pa.Table) -> pa.Table:
+            order: dict[int, bytes] = dict(zip(right.column("id").to_pylist(), right.column("set").to_pylist(), strict=True))
+            a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
+            return pa.Table.from_batches([result(a, b, [order[x] for x in a], [order[y] for y in b])])
+
+        return keyed.groupBy("key").cogroup(sets.groupBy("key")).applyInArrow(compared, schema)
 
 
 def expanded(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunking, encoding, fusion, mixing, neardup, splits, topn
+from . import chunking, encoding, fusion, markup, mixing, neardup, overlap, splits, topn
 
-MODULES = (topn, splits, neardup, chunking, fusion, encoding, mixing)
+MODULES = (topn, splits, neardup, chunking, fusion, overlap, markup, encoding, mixing)
 
 
 def queries() -> dict:
