@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunking, encoding, fusion, markup, mixing, neardup, overlap, splits, topn
+from . import chunking, encoding, fusion, markup, mixing, neardup, overlap, residue, splits, topn
 
-MODULES = (topn, splits, neardup, chunking, fusion, overlap, markup, encoding, mixing)
+MODULES = (topn, splits, neardup, chunking, fusion, overlap, markup, encoding, mixing, residue)
 
 
 def queries() -> dict:
