@@ -258,23 +258,28 @@ def similar_candidates(data: dict[str, np.ndarray], threshold: float, boundary:
     # what belongs to an entry lies beside it, so that a list is read in one go
     i_doc, i_size, i_last = doc[index].astype(np.int32), size[index].astype(np.int32), (size - position)[index].astype(np.int32)
     p_doc, p_size = doc[probe].astype(np.int32), size[probe].astype(np.int32)
+    need = np.ceil(share * np.arange(2 * int(sizes.max()) + 1) - 1e-9).astype(np.int32) if len(sizes) else np.zeros(1, np.int32)
     at, found = 0, []
-    half = MAP_WORDS // 2
+    fours = [np.ascontiguousarray(maps[:, w : w + 4]) for w in range(0, MAP_WORDS, 4)]
     while at < len(probe):
         done = upto[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(upto, done + block, "right")))
         for which, here in _steps(begin[at:stop], hits[at:stop], block):
-            a, s = i_doc[here], i_size[here]
-            b, u = p_doc[at:stop][which], p_size[at:stop][which]
-            overlap = np.ceil(share * (s + u) - 1e-9).astype(np.int32)
-            ok = (overlap <= i_last[here]) & ((s < u) | (a < b))
+            u = p_size[at:stop][which]
+            s = i_size[here]
+            least = need[s + u]
+            keep = np.flatnonzero(least <= i_last[here])
+            here, which, s, u, least = here[keep], which[keep], s[keep], u[keep], least[keep]
+            a, b = i_doc[here], p_doc[at:stop][which]
+            ok = (s < u) | (a < b)
             if across:
                 ok &= roles[a] != roles[b]
             keep = np.flatnonzero(ok)
-            a, b, most = a[keep], b[keep], (s + u - 2 * overlap)[keep]
-            for words in (range(half), range(half, MAP_WORDS)):
-                for w in words:
-                    most = most - np.bitwise_count(maps[a, w] ^ maps[b, w])
+            a, b, most = a[keep], b[keep], (s + u - 2 * least)[keep]
+            for four in fours:
+                # the four counts of a row are added as bytes of one number; 256 would count as 0, which drops nothing
+                bits = np.bitwise_count(np.take(four, a, axis=0) ^ np.take(four, b, axis=0))
+                most = most - (bits.view(np.uint32).ravel() * np.uint32(0x01010101) >> np.uint32(24)).astype(np.int32)
                 keep = np.flatnonzero(most >= 0)
                 a, b, most = a[keep], b[keep], most[keep]
             found.append(a.astype(np.int64) * len(ids) + b)
@@ -292,9 +297,9 @@ def _steps(begin: np.ndarray, hits: np.ndarray, block: int) -> Iterator[tuple[np
             n = min(block, int(hits[0]) - at)
             yield np.zeros(n, np.int64), begin[0] + at + np.arange(n)
         return
-    which = np.repeat(np.arange(len(hits)), hits)
-    start = np.cumsum(hits) - hits
-    yield which, np.arange(int(hits.sum())) - start[which] + begin[which]
+    which = np.repeat(np.arange(len(hits), dtype=np.int32), hits)
+    shift = (begin - (np.cumsum(hits) - hits)).astype(np.int32)
+    yield which, np.arange(len(which), dtype=np.int32) + shift[which]
 
 
 def _third_pass(threshold: float, boundary: int, across: bool):
