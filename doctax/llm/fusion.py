@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dense_groups, table
+from .common import dense_groups, staged, table
 from .prefix import running_sums
 
-LIGHT_ROWS = 50_000
+LIGHT_ROWS = 200_000
+#: Rows of light groups that are computed in one go.
+BLOCK_ROWS = 200_000
 #: Thresholds of the preference function, as percentile differences.
 INDIFFERENCE, PREFERENCE = 0.05, 0.5
 
@@ -71,7 +73,7 @@ def flows(group: np.ndarray, value: np.ndarray, q: float = INDIFFERENCE, p: floa
     return out
 
 
-def _light(df: DataFrame, group_cols: list[str], scores: dict[str, float], q: float, p: float) -> DataFrame:
+def _light(df: DataFrame, group_cols: list[str], id_col: str, scores: dict[str, float], q: float, p: float) -> DataFrame:
     weights = sum(scores.values())
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
@@ -80,7 +82,13 @@ def _light(df: DataFrame, group_cols: list[str], scores: dict[str, float], q: fl
         for name, weight in scores.items():
             value = rows.column(name).cast(pa.float64()).to_numpy()  # null becomes NaN
             net += weight / weights * flows(group, value, q, p)
-        return rows.append_column("net_flow", pa.array(np.round(net, 9) + 0.0)).combine_chunks().to_batches()
+        net = np.round(net, 9) + 0.0
+        order = np.lexsort((rows.column(id_col).to_numpy(), -net, group))
+        ranked = group[order]
+        first = np.searchsorted(ranked, ranked, "left")
+        place = np.empty(len(net), np.int64)
+        place[order] = np.arange(len(net)) - first + 1
+        return rows.append_column("net_flow", pa.array(net)).append_column("place", pa.array(place)).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -88,7 +96,7 @@ def _light(df: DataFrame, group_cols: list[str], scores: dict[str, float], q: fl
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count > 4 * LIGHT_ROWS:
+            if count > BLOCK_ROWS:
                 rows = pa.Table.from_batches(held)
                 last = [rows.column(c)[-1] for c in group_cols]
                 group, _ = dense_groups([rows.column(c) for c in group_cols])
@@ -100,7 +108,7 @@ def _light(df: DataFrame, group_cols: list[str], scores: dict[str, float], q: fl
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    schema = T.StructType([*df.schema.fields, T.StructField("net_flow", T.DoubleType(), False)])
+    schema = T.StructType([*df.schema.fields, T.StructField("net_flow", T.DoubleType(), False), T.StructField("place", T.LongType(), False)])
     return df.repartition(*group_cols).sortWithinPartitions(*group_cols).mapInArrow(run, schema)
 
 
@@ -162,15 +170,11 @@ def outranking(
     for name in scores:
         v = F.col(name).cast("double")
         clean = clean.withColumn(name, F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v))
-    counts = df.groupBy(*group_cols).agg(F.count("*").alias("__rows")).where(F.col("__rows") > light_rows)
-    heavy_keys = counts.select(*group_cols)
-    light = _light(clean.join(heavy_keys, group_cols, "left_anti"), group_cols, scores, q, p)
-    from pyspark.sql import Window
-
-    place = Window.partitionBy(*group_cols).orderBy(F.desc("net_flow"), F.asc(id_col))
-    light = light.withColumn("place", F.row_number().over(place).cast("bigint"))
+    clean = staged(clean, "scored")
+    heavy_keys = staged(clean.groupBy(*group_cols).agg(F.count("*").alias("n")).where(F.col("n") > light_rows).select(*group_cols), "heavy")
     if not heavy_keys.take(1):
-        return light
+        return _light(clean, group_cols, id_col, scores, q, p)
+    light = _light(clean.join(heavy_keys, group_cols, "left_anti"), group_cols, id_col, scores, q, p)
     heavy = _heavy(clean.join(heavy_keys, group_cols, "left_semi"), group_cols, id_col, scores, q, p)
     order = heavy.withColumn("__minus", -F.col("net_flow")).withColumn("__one", F.lit(1))
     heavy = running_sums(order, group_cols, ["__minus", id_col], {"place": "__one"}).drop("__minus", "__one")
