@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ BLOCK = 1 << 17
 COPY_PAIRS = 64
 #: The joining part works on about so many sets a task.
 SETS_A_PART = 50_000
+#: Bytes of text that are shingled in one go, except for a text that is longer.
+BATCH_BYTES = 4 << 20
 #: Sets, and pairs, that are compared in one task.
 SETS_A_BLOCK, PAIRS_A_BLOCK = 30_000, 500_000
 #: Ids that may be broadcast when the texts of candidate pairs are fetched; beyond, both sides are shuffled.
@@ -58,38 +61,89 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text) -> F.Column:
-    """The hashes of the words of a text in order: runs of letters and digits, lower case."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
+_tables: list[np.ndarray] = []
+
+
+def _characters() -> list[np.ndarray]:
+    """For each code point whether it is a letter or digit, and its lower case (the first character of it)."""
+    if not _tables:
+        points = [chr(i) for i in range(0x110000)]
+        _tables.append(np.fromiter((c.isalnum() for c in points), bool, len(points)))
+        _tables.append(np.fromiter((ord(c.lower()[0]) for c in points), np.uint32, len(points)))
+    return _tables
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts of a batch in order, and each text's number of words.
+
+    Words are runs of letters and digits, lower case character by character. The batch is one run of code points
+    in which word ends are found and hashed all at once.
+    """
+    known, lower = _characters()
+    listed = texts.to_pylist()
+    points = np.frombuffer("\n".join(listed).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+    ends = np.cumsum(sizes + 1)  # with the line feed between texts, which is in no word
+    inside = known[points]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    first = np.ones(len(at), bool)
+    first[1:] = at[1:] - at[:-1] > 1
+    start = np.flatnonzero(first)
+    number = np.cumsum(first) - 1
+    place = (at - at[start][number]).astype(np.uint64)
+    value = (lower[points[at]].astype(np.uint64) + place * np.uint64(0x2545F4914F6CDD1D)) * _M1
+    value ^= value >> np.uint64(29)
+    words = mix(np.add.reduceat(value * _M2, start))
+    count = np.bincount(np.searchsorted(ends, at[start], "right"), minlength=len(texts))
+    return words, count
+
+
+#: Rows of a batch that are shingled in one go: their number shares 64 bits with the hash while it is sorted.
+ROW_BITS = 14
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted values, each once; sorting numbers is faster than hashing them."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    return x[fresh]
 
 
 class Sets:
-    """The distinct shingles of the texts of a batch, sorted by text and hash."""
+    """The distinct shingles of the texts of a batch, sorted by text and hash.
+
+    A shingle is a number of 64 bits of which the lower ``ROW_BITS`` are 0.
+    """
 
-    def __init__(self, words: pa.Array, k: int, min_words: int):
-        offsets = words.offsets.to_numpy().astype(np.int64)
-        values = words.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
-        count = np.diff(offsets)
-        doc = np.repeat(np.arange(len(count)), count)
+    def __init__(self, texts: pa.Array, k: int, min_words: int):
+        if len(texts) > 1 << ROW_BITS:
+            raise ValueError("the batch is too large")
+        values, count = word_hashes(texts)
+        doc = np.repeat(np.arange(len(count), dtype=np.uint64), count)
         at = len(values) - k + 1
         if at > 0:
             shingle = np.zeros(at, np.uint64)
             for i in range(k):
                 shingle = mix(shingle * _M1 + values[i : i + at] + np.uint64(i + 1))
-            inside = (doc[:at] == doc[k - 1 :]) & (count[doc[:at]] >= max(k, min_words))
+            inside = (doc[:at] == doc[k - 1 :]) & (count >= max(k, min_words))[doc[:at]]
             shingle, doc = shingle[inside], doc[:at][inside]
         else:
-            shingle, doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        order = np.lexsort((shingle, doc))
-        shingle, doc = shingle[order], doc[order]
-        fresh = np.ones(len(doc), bool)
-        fresh[1:] = (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1])
-        self.shingle, doc = shingle[fresh], doc[fresh]
+            shingle, doc = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        both = distinct(doc << np.uint64(64 - ROW_BITS) | shingle >> np.uint64(ROW_BITS))
+        doc, self.shingle = (both >> np.uint64(64 - ROW_BITS)).astype(np.int64), both << np.uint64(ROW_BITS)
         self.start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
         self.rows = doc[self.start]  # the batch's rows that have a set
         self.size = np.diff(np.append(self.start, len(doc)))
         self.of = np.repeat(np.arange(len(self.start)), self.size)
 
+    def order(self, rank: np.ndarray) -> np.ndarray:
+        """The shingles by text, rank and hash."""
+        key = self.of.astype(np.uint64) << np.uint64(64 - ROW_BITS) | rank.astype(np.uint64) << np.uint64(57 - ROW_BITS)
+        return np.argsort(key | self.shingle >> np.uint64(ROW_BITS + 7))
+
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit numbers that equal sets share."""
         if not len(self.start):
@@ -104,6 +158,17 @@ class Sets:
         return np.ascontiguousarray(packed).view(np.uint64)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``1 << ROW_BITS`` rows, and of some million characters, so that memory is bounded."""
+    for batch in batches:
+        size, at = pa.compute.cumulative_sum(pa.compute.binary_length(batch.column("text"))).to_numpy().astype(np.int64), 0
+        while at < batch.num_rows:
+            before = size[at - 1] if at else 0
+            stop = min(at + (1 << ROW_BITS), max(at + 1, int(np.searchsorted(size, before + BATCH_BYTES, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def needed(size_a, size_b, threshold: float):
     """The overlap that two sets of these sizes need."""
     return np.ceil(threshold / (1 + threshold) * (size_a + size_b) - 1e-9).astype(np.int64)
@@ -113,8 +178,8 @@ def _first_pass(k: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         sizes: dict[int, int] = {}
-        for batch in batches:
-            sets = Sets(batch.column("words"), k, min_words)
+        for batch in _cut(batches):
+            sets = Sets(batch.column("text"), k, min_words)
             counts += np.bincount((sets.shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             for size, n in zip(*np.unique(sets.size, return_counts=True), strict=True):
                 sizes[int(size)] = sizes.get(int(size), 0) + int(n)
@@ -156,7 +221,7 @@ def small_boundary(sizes: dict[int, int], list_length: float, threshold: float,
 def postings(sets: Sets, level: np.ndarray, threshold: float, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the sets: (set, key, position). Even keys are shingles, odd ones pairs of shingles of small sets."""
     rank = level[(sets.shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((sets.shingle, rank, sets.of))
+    order = sets.order(rank)
     shingle, of, rank = sets.shingle[order], sets.of, rank[order]
     position = np.arange(len(of)) - sets.start[of]
     size = sets.size
@@ -186,8 +251,8 @@ _TYPES = (np.int64, np.int8, np.int32, np.uint32, np.uint64, np.uint32, np.uint3
 
 def _second_pass(k: int, min_words: int, threshold: float, boundary: int, level, parts: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = Sets(batch.column("words"), k, min_words)
+        for batch in _cut(batches):
+            sets = Sets(batch.column("text"), k, min_words)
             if not len(sets.start):
                 continue
             rows = pa.array(sets.rows)
@@ -203,7 +268,7 @@ def _second_pass(k: int, min_words: int, threshold: float, boundary: int, level,
             keep = sends[of]
             of, token, position = of[keep], token[keep], position[keep]
             part = ((token.astype(np.uint64) >> np.uint64(1)) * np.uint64(len(parts)) >> np.uint64(31)).astype(np.int64)
-            order = np.lexsort((of, part))
+            order = np.argsort(part * (len(ids) + 1) + of, kind="stable")
             of, token, position, part = of[order], token[order], position[order], part[order]
             edges = np.searchsorted(part, np.arange(len(parts) + 1))
             columns: list[list] = [[] for _ in range(len(_PACKED) + 1)]
@@ -211,7 +276,8 @@ def _second_pass(k: int, min_words: int, threshold: float, boundary: int, level,
                 a, b = edges[p], edges[p + 1]
                 if a == b:
                     continue
-                docs, counts = np.unique(of[a:b], return_counts=True)
+                new = np.flatnonzero(np.concatenate([[True], of[a + 1 : b] != of[a : b - 1]]))
+                docs, counts = of[a:b][new], np.diff(np.append(new, b - a))
                 values = (ids[docs], roles[docs], sets.size[docs], key[docs] & np.uint64(0xFFFFFFFF), maps[docs], counts, token[a:b], np.minimum(position[a:b], 65535))
                 columns[0].append(parts[p])
                 for column, value, kind in zip(columns[1:], values, _TYPES, strict=True):
@@ -285,7 +351,7 @@ def similar_candidates(data: dict[str, np.ndarray], threshold: float, boundary:
             found.append(a.astype(np.int64) * len(ids) + b)
         at = stop
     if found:
-        pairs = np.unique(np.concatenate(found))
+        pairs = distinct(np.concatenate(found))
         a, b = ids[pairs // len(ids)], ids[pairs % len(ids)]
         yield np.minimum(a, b), np.maximum(a, b)
 
@@ -343,10 +409,10 @@ def _packed_sets(k: int, min_words: int, level):
     """The shingles of each text, packed in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = Sets(batch.column("words"), k, min_words)
+        for batch in _cut(batches):
+            sets = Sets(batch.column("text"), k, min_words)
             rank = level.value[(sets.shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            shingle = sets.shingle[np.lexsort((sets.shingle, rank, sets.of))]
+            shingle = sets.shingle[sets.order(rank)]
             ends = np.append(sets.start, len(shingle))
             blobs = [pack(shingle[ends[i] : ends[i + 1]]) for i in range(len(sets.start))]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(sets.rows)), pa.array(blobs, pa.binary())], ["id", "set"])
@@ -384,7 +450,7 @@ class SimilarSets:
         role = F.col(role_col).cast("int") if role_col else F.lit(0)
         rows = df.select(F.col(id_col).cast("bigint").alias("id"), role.alias("role"), F.col(text_col).alias("text")).where("id is not null and text is not null and role is not null")
         self.rows, self.k, self.min_words, self.threshold = rows, k, min_words, threshold
-        words = rows.select("id", "role", word_hashes("text").alias("words"))
+        words = rows.select("id", "role", "text")
         first = staged(words.mapInArrow(_first_pass(k, min_words), "kind int, a bigint, b bigint, c bigint, role int"), "first")
         # a sketch of fixed size and the number of sets by size
         sketch = first.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).select(
@@ -419,7 +485,7 @@ class SimilarSets:
         ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
         n_ids, n_pairs = ids.count(), pairs.count()
         wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
-        words = self.rows.join(wanted, "id", "left_semi").select("id", word_hashes("text").alias("words"))
+        words = self.rows.join(wanted, "id", "left_semi").select("id", "text")
         sets = words.mapInArrow(_packed_sets(self.k, self.min_words, self.level), "id bigint, set binary")
         schema = "a bigint, b bigint, common int, both int"
 
