@@ -29,7 +29,7 @@ def idf_table(spark, d):
 
 def bm25_topk(spark, d):
     asked = t.chunks(spark, d).where("text is not null").select(F.col("chunk_id").alias("query_id"), "text")
-    return R.bm25(_corpus(spark, d), asked, 10).select("query_id", "id", F.round("score", 4).alias("score"), "place")
+    return R.bm25(_corpus(spark, d), asked, 10).select("query_id", "id", "score", "place")
 
 
 def _vectors(spark, d):
@@ -39,7 +39,7 @@ def _vectors(spark, d):
 def dense_topk(spark, d):
     rows = _vectors(spark, d)
     found = R.dense(rows.select("id", "v"), rows.where("id % 100 = 0").select("id", "v"), 10)
-    return found.select("query_id", "id", F.round(1 - F.col("similarity"), 5).alias("distance"), "place")
+    return found.select("query_id", "id", F.round(1 - F.col("similarity"), 6).alias("distance"), "place")
 
 
 def vector_norms(spark, d):
@@ -160,12 +160,12 @@ ask AS (SELECT query_id, term, count(*) AS n FROM (SELECT chunk_id AS query_id,
 hit AS (
   SELECT query_id, id, round(sum(ask.n * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
   FROM ask JOIN post USING (term) JOIN weight USING (term), size GROUP BY query_id, id)
-SELECT query_id, id, round(score, 4) AS score, place FROM (
+SELECT query_id, id, score, place FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM hit WHERE score > 0) WHERE place <= 10""",
     "dense_topk": f"""
 WITH {_UNIT},
 pair AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM vec a, vec b WHERE a.id % 100 = 0)
-SELECT query_id, id, round(1 - s, 5) AS distance, place FROM (
+SELECT query_id, id, round(1 - s, 6) AS distance, place FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS place FROM pair) WHERE place <= 10""",
     "vector_norms": f"WITH {_UNIT} SELECT id, round(sqrt(list_dot_product(v, v)), 5) AS norm FROM vec",
     "maxsim_late_interaction": f"""
