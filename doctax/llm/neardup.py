@@ -61,43 +61,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_tables: list[np.ndarray] = []
+#: The base of the words' hashes and its inverse modulo 2^64.
+_BASE = 0x2545F4914F6CDD1D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_tables: dict[str, np.ndarray] = {}
 
 
-def _characters() -> list[np.ndarray]:
-    """For each code point whether it is a letter or digit, and its lower case (the first character of it)."""
-    if not _tables:
+def _characters() -> np.ndarray:
+    """For each code point a number that its lower case (the first character of it) shares; 0 if it is no letter or digit."""
+    if "characters" not in _tables:
         points = [chr(i) for i in range(0x110000)]
-        _tables.append(np.fromiter((c.isalnum() for c in points), bool, len(points)))
-        _tables.append(np.fromiter((ord(c.lower()[0]) for c in points), np.uint32, len(points)))
-    return _tables
+        lower = np.fromiter((ord(c.lower()[0]) for c in points), np.uint64, len(points))
+        known = np.fromiter((c.isalnum() for c in points), bool, len(points))
+        _tables["characters"] = np.where(known, mix(lower * _M1 + _M2) | np.uint64(1), np.uint64(0))
+    return _tables["characters"]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse."""
+    if len(_tables.get("powers", ())) < n:
+        size = max(n, 1 << 20)
+        for name, base in (("powers", _BASE), ("inverse", _INVERSE)):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _tables[name] = np.cumprod(table)
+    return _tables["powers"], _tables["inverse"]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the words of all texts of a batch in order, and each text's number of words.
 
-    Words are runs of letters and digits, lower case character by character. The batch is one run of code points
-    in which word ends are found and hashed all at once.
+    Words are runs of letters and digits, lower case character by character. The batch is one run of code
+    points; a word's hash is a polynomial in its characters, the difference of two running sums taken back to place 0.
     """
-    known, lower = _characters()
     listed = texts.to_pylist()
     points = np.frombuffer("\n".join(listed).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, listed), np.int64, len(listed))
     ends = np.cumsum(sizes + 1)  # with the line feed between texts, which is in no word
-    inside = known[points]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    first = np.ones(len(at), bool)
-    first[1:] = at[1:] - at[:-1] > 1
-    start = np.flatnonzero(first)
-    number = np.cumsum(first) - 1
-    place = (at - at[start][number]).astype(np.uint64)
-    value = (lower[points[at]].astype(np.uint64) + place * np.uint64(0x2545F4914F6CDD1D)) * _M1
-    value ^= value >> np.uint64(29)
-    words = mix(np.add.reduceat(value * _M2, start))
-    count = np.bincount(np.searchsorted(ends, at[start], "right"), minlength=len(texts))
-    return words, count
+    value = _characters()[points]
+    inside = np.zeros(len(points) + 2, np.int8)
+    inside[1:-1] = value != 0
+    step = np.diff(inside)
+    start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    power, inverse = _powers(len(points) + 1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(value * power[: len(points)], out=sums[1:])
+    words = mix((sums[stop] - sums[start]) * inverse[start])
+    return words, np.bincount(np.searchsorted(ends, start, "right"), minlength=len(texts))
 
 
 #: Rows of a batch that are shingled in one go: their number shares 64 bits with the hash while it is sorted.
@@ -420,17 +430,22 @@ def _packed_sets(k: int, min_words: int, level):
     return run
 
 
-def common_shingles(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each pair of sets has in common."""
-    return np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(one, two, strict=True)], np.int64)
+def common_shingles(one: list[np.ndarray], two: list[np.ndarray], block: int = 256) -> np.ndarray:
+    """How many shingles each pair of sets has in common: sorted together, they stand twice."""
+    out = np.zeros(len(one), np.int64)
+    for at in range(0, len(one), block):
+        parts = [x for pair in zip(one[at : at + block], two[at : at + block], strict=True) for x in pair]
+        pair = np.repeat(np.arange(len(parts)) // 2, [len(x) for x in parts])
+        both = np.sort(pair << 40 | np.concatenate(parts))
+        twice = both[1:][both[1:] == both[:-1]] >> 40
+        out[at : at + block] = np.bincount(twice, minlength=len(parts) // 2)
+    return out
 
 
-def _compare(one: list[bytes], two: list[bytes], how, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compare(one: list[np.ndarray], two: list[np.ndarray], how, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Common shingles, sum of sizes, and whether that is enough."""
-    both = np.array([(len(x) + len(y)) // 5 for x, y in zip(one, two, strict=True)], np.int64)
-    common = np.zeros(len(one), np.int64)
-    for at in range(0, len(one), 2000):
-        common[at : at + 2000] = how([unpack(x) for x in one[at : at + 2000]], [unpack(x) for x in two[at : at + 2000]])
+    both = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64)
+    common = how(one, two) if len(one) else np.zeros(0, np.int64)
     return common, both, common >= threshold * (both - common) - 1e-9
 
 
@@ -502,7 +517,8 @@ class SimilarSets:
 
             def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    yield result(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b")))
+                    a, b, one, two = (batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))
+                    yield result(a, b, [unpack(x) for x in one], [unpack(x) for x in two])
 
             return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(joined, schema)
 
@@ -513,7 +529,7 @@ class SimilarSets:
         sets = sets.select("id", "set", every.alias("other")).select(key(block("id"), F.col("other")).alias("key"), "id", "set")
 
         def compared(_, left: pa.Table, right: pa.Table) -> pa.Table:
-            order: dict[int, bytes] = dict(zip(right.column("id").to_pylist(), right.column("set").to_pylist(), strict=True))
+            order = {i: unpack(x) for i, x in zip(right.column("id").to_pylist(), right.column("set").to_pylist(), strict=True)}
             a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
             return pa.Table.from_batches([result(a, b, [order[x] for x in a], [order[y] for y in b])])
 

@@ -15,7 +15,7 @@ def brute_top(rows, n):
     for g, i, s in rows:
         if s is not None and np.isfinite(s):
             groups.setdefault(g, []).append((-s, i if i is not None else 1 << 62))
-    return sorted((g, i) for g, v in groups.items() for _, i in sorted(v)[:n])
+    return [(g, i) for g, v in groups.items() for _, i in sorted(v)[:n]]
 
 
 @pytest.mark.parametrize("n", [1, 3, 10])
