@@ -216,4 +216,30 @@ def p5_relevance(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_ranking": p5_ranking, "p5_relevance": p5_relevance}
-SQL: dict[str, str] = {}
+
+_P = lambda d: f"least(greatest(({d} - {INDIFFERENCE}) / ({PREFERENCE} - {INDIFFERENCE}), 0.0), 1.0)"
+_RANKED = f"""
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY scored_at DESC, ingested_at DESC) AS v FROM candidates) WHERE v = 1),
+score AS (
+  SELECT source, chunk_index, candidate_id, unnest(['bm25', 'dense', 'cross', 'rrf']) AS s,
+    unnest([CASE WHEN bm25_rank > 0 THEN -bm25_rank::DOUBLE ELSE -1e9 END, -embedding_distance, cross_encoder_score, rrf_score]) AS v FROM latest),
+known AS (SELECT * FROM score WHERE v IS NOT NULL AND isfinite(v)),
+part AS (
+  SELECT *, count(*) OVER g AS m, rank() OVER (PARTITION BY source, chunk_index, s ORDER BY v) - 1 AS below, count(*) OVER (PARTITION BY source, chunk_index, s, v) AS n
+  FROM known WINDOW g AS (PARTITION BY source, chunk_index, s)),
+spot AS (SELECT *, CASE WHEN m > 1 THEN (below + (n - 1) / 2.0::DOUBLE) / (m - 1) ELSE 0.5 END AS x FROM part),
+value AS (SELECT source, chunk_index, s, x, m, count(*) AS n FROM spot GROUP BY ALL),
+flow AS (
+  SELECT a.source, a.chunk_index, a.s, a.x, sum(b.n * ({_P('(a.x - b.x)')} - {_P('(b.x - a.x)')})) / greatest(a.m - 1, 1) AS f
+  FROM value a JOIN value b ON a.source = b.source AND a.chunk_index = b.chunk_index AND a.s = b.s GROUP BY a.source, a.chunk_index, a.s, a.x, a.m),
+net AS (SELECT spot.candidate_id, sum(f) / 4 AS net_flow FROM spot JOIN flow USING (source, chunk_index, s, x) GROUP BY spot.candidate_id),
+ranked AS (SELECT source, chunk_index, candidate_id, round(coalesce(net_flow, 0.0), 9) + 0.0 AS net_flow FROM latest LEFT JOIN net USING (candidate_id))"""
+SQL = {
+    "p5_ranking": f"""
+WITH {_RANKED}
+SELECT source, chunk_index, candidate_id, net_flow, row_number() OVER (PARTITION BY source, chunk_index ORDER BY net_flow DESC, candidate_id) AS place FROM ranked""",
+    "p5_relevance": f"""
+WITH {_RANKED},
+verdict AS (SELECT candidate_id, relevant FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY judged_at DESC, relevant DESC) AS v FROM judge_verdicts) WHERE v = 1)
+SELECT relevant, count(*) AS candidates, round(avg(net_flow), 6) AS mean_net_flow FROM ranked JOIN verdict USING (candidate_id) GROUP BY relevant""",
+}

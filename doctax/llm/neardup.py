@@ -35,11 +35,13 @@ from .common import staged, table
 from .splits import connected_groups
 
 SKETCH_BITS = 21
+#: The sketch is added in parts of so many counters.
+SKETCH_PART = 1 << 16
 MAP_WORDS = 8
 #: Shuffle, hashing and sorting of one key cost as much as so many hits in inverted lists.
 KEY_COST = 30.0
 #: Pairs of hits that are looked at in one go.
-BLOCK = 1 << 17
+BLOCK = 1 << 15
 #: Classes of equal sets up to this size are listed pair by pair; larger ones as pairs with their representative.
 COPY_PAIRS = 64
 #: The joining part works on about so many sets a task.
@@ -196,19 +198,26 @@ def _first_pass(k: int, min_words: int):
             k1, k2 = sets.keys()
             rows = pa.array(sets.rows)
             yield _row(1, batch.column("id").take(rows).to_numpy(), k1.view(np.int64), k2.view(np.int64), batch.column("role").take(rows).to_numpy())
-        used = np.flatnonzero(counts)
-        for at in range(0, len(used), 100_000):
-            part = used[at : at + 100_000]
-            yield _row(0, part, counts[part], np.zeros(len(part), np.int64), np.zeros(len(part), np.int64))
+        for at in range(0, len(counts), SKETCH_PART):
+            yield _row(0, np.array([at]), np.zeros(1), np.zeros(1), np.zeros(1), [counts[at : at + SKETCH_PART].astype(np.uint32).tobytes()])
         yield _row(2, np.array(list(sizes), np.int64), np.array(list(sizes.values()), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64))
 
     return run
 
 
-def _row(kind: int, a, b, c, d) -> pa.RecordBatch:
+def _row(kind: int, a, b, c, d, blobs: list[bytes] | None = None) -> pa.RecordBatch:
     n = len(a)
-    columns = [pa.array(np.full(n, kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, c)), pa.array(d.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "c", "role"])
+    columns = [pa.array(np.full(n, kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, c)), pa.array(d.astype(np.int32)), pa.array(blobs or [None] * n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "c", "role", "blob"])
+
+
+def _levels(part: pa.Table) -> pa.Table:
+    """A part of the sketch as levels: 0 unseen, 1 once, else by sixths of a power of two of the count."""
+    total = np.zeros(SKETCH_PART, np.int64)
+    for blob in part.column("blob").to_pylist():
+        total += np.frombuffer(blob, np.uint32)
+    level = np.where(total > 1, np.minimum(127, np.ceil(np.log2(np.maximum(total, 1)) * 6) + 1), total).astype(np.int8)
+    return pa.table({"a": part.column("a").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
 
 
 def small_boundary(sizes: dict[int, int], list_length: float, threshold: float, key_cost: float = KEY_COST) -> int:
@@ -329,29 +338,31 @@ def similar_candidates(data: dict[str, np.ndarray], threshold: float, boundary:
     end = np.searchsorted(where, (token[probe] << 31) | np.maximum(high, 0), "right")
     hits = np.where(high >= low, end - begin, 0)
     some = np.flatnonzero(hits > 0)
+    some = some[np.argsort(begin[some], kind="stable")]  # the probes of one list stand together, so that it stays in the cache
     probe, begin, hits = probe[some], begin[some], hits[some]
     upto = np.cumsum(hits)
     # what belongs to an entry lies beside it, so that a list is read in one go
-    i_doc, i_size, i_last = doc[index].astype(np.int32), size[index].astype(np.int32), (size - position)[index].astype(np.int32)
-    p_doc, p_size = doc[probe].astype(np.int32), size[probe].astype(np.int32)
-    need = np.ceil(share * np.arange(2 * int(sizes.max()) + 1) - 1e-9).astype(np.int32) if len(sizes) else np.zeros(1, np.int32)
+    small = np.int16 if len(sizes) and 2 * int(sizes.max()) < 1 << 15 else np.int32
+    i_doc, i_size, i_last = doc[index].astype(np.int32), size[index].astype(small), (size - position)[index].astype(small)
+    p_doc, p_size = doc[probe].astype(np.int32), size[probe].astype(small)
+    need = np.ceil(share * np.arange(2 * int(sizes.max()) + 1) - 1e-9).astype(small) if len(sizes) else np.zeros(1, small)
     at, found = 0, []
     fours = [np.ascontiguousarray(maps[:, w : w + 4]) for w in range(0, MAP_WORDS, 4)]
     while at < len(probe):
         done = upto[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(upto, done + block, "right")))
-        for which, here in _steps(begin[at:stop], hits[at:stop], block):
-            u = p_size[at:stop][which]
+        for here, runs in _steps(begin[at:stop], hits[at:stop], block):
+            u = np.repeat(p_size[at:stop], runs)
             s = i_size[here]
             least = need[s + u]
             keep = np.flatnonzero(least <= i_last[here])
-            here, which, s, u, least = here[keep], which[keep], s[keep], u[keep], least[keep]
-            a, b = i_doc[here], p_doc[at:stop][which]
+            s, u, least = s[keep], u[keep], least[keep]
+            a, b = i_doc[here[keep]], np.repeat(p_doc[at:stop], runs)[keep]
             ok = (s < u) | (a < b)
             if across:
                 ok &= roles[a] != roles[b]
             keep = np.flatnonzero(ok)
-            a, b, most = a[keep], b[keep], (s + u - 2 * least)[keep]
+            a, b, most = a[keep], b[keep], (s + u - 2 * least)[keep].astype(np.int32)
             for four in fours:
                 # the four counts of a row are added as bytes of one number; 256 would count as 0, which drops nothing
                 bits = np.bitwise_count(np.take(four, a, axis=0) ^ np.take(four, b, axis=0))
@@ -367,15 +378,16 @@ def similar_candidates(data: dict[str, np.ndarray], threshold: float, boundary:
 
 
 def _steps(begin: np.ndarray, hits: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(which probe, which entry) of all hits, at most ``block`` at a time even for one long list."""
+    """The entries of all hits in order, and how many belong to each probe; at most ``block`` even for one long list."""
     if len(hits) == 1 and hits[0] > block:
         for at in range(0, int(hits[0]), block):
             n = min(block, int(hits[0]) - at)
-            yield np.zeros(n, np.int64), begin[0] + at + np.arange(n)
+            yield begin[0] + at + np.arange(n), np.array([n])
         return
-    which = np.repeat(np.arange(len(hits), dtype=np.int32), hits)
     shift = (begin - (np.cumsum(hits) - hits)).astype(np.int32)
-    yield which, np.arange(len(which), dtype=np.int32) + shift[which]
+    here = np.repeat(shift, hits)
+    here += np.arange(len(here), dtype=np.int32)
+    yield here, hits
 
 
 def _third_pass(threshold: float, boundary: int, across: bool):
@@ -466,13 +478,11 @@ class SimilarSets:
         rows = df.select(F.col(id_col).cast("bigint").alias("id"), role.alias("role"), F.col(text_col).alias("text")).where("id is not null and text is not null and role is not null")
         self.rows, self.k, self.min_words, self.threshold = rows, k, min_words, threshold
         words = rows.select("id", "role", "text")
-        first = staged(words.mapInArrow(_first_pass(k, min_words), "kind int, a bigint, b bigint, c bigint, role int"), "first")
-        # a sketch of fixed size and the number of sets by size
-        sketch = first.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).select(
-            F.col("a").cast("int"), F.when(F.col("n") == 1, 1).otherwise(F.least(F.lit(127), F.ceil(F.log2("n") * 6) + 1)).cast("tinyint").alias("l")
-        ).toArrow()
+        first = staged(words.mapInArrow(_first_pass(k, min_words), "kind int, a bigint, b bigint, c bigint, role int, blob binary"), "first")
+        # a sketch of fixed size, and the number of sets by size
         level = np.zeros(1 << SKETCH_BITS, np.int8)
-        level[sketch.column("a").to_numpy()] = sketch.column("l").to_numpy()
+        for row in first.where("kind = 0").select("a", "blob").groupBy("a").applyInArrow(_levels, "a bigint, level binary").collect():
+            level[row.a : row.a + SKETCH_PART] = np.frombuffer(row.level, np.int8)
         sizes = {r.a: r.n for r in first.where("kind = 2").groupBy("a").agg(F.sum("b").alias("n")).collect()}
         if boundary is None:
             counts = np.sort(np.exp2((level[level > 0].astype(float) - 1) / 6))
@@ -600,4 +610,15 @@ def p3_groups(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
-SQL: dict[str, str] = {}
+
+PAIRS_SQL = r"""
+word AS (
+  SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT chunk_id, max(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id)),
+shingle AS (
+  SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM word WHERE len(w) >= 12),
+size AS (SELECT chunk_id, count(*) AS n FROM shingle GROUP BY chunk_id),
+common AS (
+  SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS o FROM shingle a JOIN shingle b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY ALL),
+pair AS (
+  SELECT chunk_id_a, chunk_id_b FROM common JOIN size x ON x.chunk_id = chunk_id_a JOIN size y ON y.chunk_id = chunk_id_b WHERE 2 * o >= x.n + y.n - o)"""
+SQL = {"p3_found": f"WITH {PAIRS_SQL} SELECT chunk_id_a, chunk_id_b FROM pair"}

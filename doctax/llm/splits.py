@@ -203,13 +203,13 @@ def p2_balance(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance}
-_FILE = """
+FILE_SQL = """
 regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(replace(url_decode(replace(
   regexp_replace(trim(source, ' \t\n\r'), '[#?].*$', ''), '+', '%2B')), '\\', '/')),
   '/{2,}', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '(^|/)[^/]+/\\.\\./', '\\1', 'g'), '(^|/)[^/]+/\\.\\./', '\\1', 'g'), '^/', '')"""
 SQL = {
     "p2_found": f"""
-WITH c AS (SELECT {_FILE} AS file, lower(trim(split_name, ' \t\n\r')) AS s FROM chunks),
+WITH c AS (SELECT {FILE_SQL} AS file, lower(trim(split_name, ' \t\n\r')) AS s FROM chunks),
 torn AS (SELECT file FROM c WHERE s IN ('train', 'validation', 'test') GROUP BY file HAVING count(DISTINCT s) > 1)
-SELECT DISTINCT parsed_id FROM parsed_documents WHERE {_FILE} IN (SELECT file FROM torn)""",
+SELECT DISTINCT parsed_id FROM parsed_documents WHERE {FILE_SQL} IN (SELECT file FROM torn)""",
 }
