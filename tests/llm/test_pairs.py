@@ -147,7 +147,7 @@ def test_no_texts(spark):
 
 def test_boundary_by_cost():
     sizes = {8: 100_000, 100: 100_000}
-    assert neardup.small_boundary(sizes, 1e6, 0.5) == 8
+    assert neardup.small_boundary(sizes, 1e3, 0.5) == 8
     assert neardup.small_boundary(sizes, 1.0, 0.5) == 0
 
 
