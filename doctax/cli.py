@@ -10,7 +10,11 @@ from pathlib import Path
 def _session():
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("doctax").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    from .shipping import ship
+
+    spark = SparkSession.builder.appName("doctax").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship(spark)
+    return spark
 
 
 def _evaluated(spark, result: str, truth: list[str], min_recall: float, min_precision: float) -> dict:
