@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..functions.scores import finite, rrf_term
 from ..functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms times entries up to which the index is a matrix in every task (8 bytes a cell).
+MATRIX_CELLS = 8_000_000
 #: Vectors in a block of the dense search.
 CORPUS_BLOCK, QUERY_BLOCK = 8192, 1024
 
@@ -37,23 +40,65 @@ def idf(corpus: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """``(query_id, id, score, place)`` of the best ``top`` entries with a positive score; ties go to the smaller id.
-
-    ``queries`` has ``query_id, text``. A word that a query repeats counts each time: words are counted per query
-    first, so that a query sends each word once. The index side is the catalogue; query words that it
-    doesn't have are dropped by the join.
-    """
+def bm25_index(corpus: DataFrame) -> DataFrame:
+    """``(term, id, w)``: what a word of a query adds to an entry's score."""
     posts = postings(corpus)
     mean = corpus.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.avg("n").alias("avgdl"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    index = posts.join(idf(corpus), "term").crossJoin(F.broadcast(mean)).select("term", "id", weight.alias("w"))
+    return posts.join(idf(corpus), "term").crossJoin(F.broadcast(mean)).select("term", "id", weight.alias("w"))
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, top: int, matrix_cells: int = MATRIX_CELLS) -> DataFrame:
+    """``(query_id, id, score, place)`` of the best ``top`` entries with a positive score; ties go to the smaller id.
+
+    ``queries`` has ``query_id, text``. A word that a query repeats counts each time. The index is counted first:
+    where terms times entries stay within ``matrix_cells``, as for a catalogue, it goes to the tasks as a matrix and
+    queries are scored in blocks by one product each, without a shuffle. Beyond, words of queries are joined
+    with postings. Scores are rounded to 6 digits before they are ranked.
+    """
+    index = bm25_index(corpus).persist()
+    shape = index.agg(F.countDistinct("term").alias("t"), F.countDistinct("id").alias("e")).first()
+    if shape.t * shape.e <= matrix_cells:
+        rows = index.toArrow()
+        index.unpersist()
+        return _bm25_matrix(rows, queries, top)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
     scored = asked.join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("n") * F.col("w")), 6).alias("score")).where("score > 0")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return scored.withColumn("place", F.row_number().over(place).cast("bigint")).where(F.col("place") <= top)
 
 
+def _bm25_matrix(index: pa.Table, queries: DataFrame, top: int) -> DataFrame:
+    terms, ids = sorted(set(index.column("term").to_pylist())), sorted(set(index.column("id").to_pylist()))
+    at, of = {t: k for k, t in enumerate(terms)}, {i: k for k, i in enumerate(ids)}
+    weights = np.zeros((len(terms), len(ids)))
+    rows = [at[t] for t in index.column("term").to_pylist()], [of[i] for i in index.column("id").to_pylist()]
+    weights[rows] = index.column("w").to_numpy()
+    shared = queries.sparkSession.sparkContext.broadcast((terms, ids, weights))
+    key = dict(queries.dtypes)["query_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ids, weights = shared.value
+        known, names = pa.array(terms, pa.string()), pa.array(ids, pa.string())
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                words = part.column("words").fill_null([])
+                term = pc.index_in(words.flatten(), value_set=known)
+                row = pc.list_parent_indices(words)
+                there = pc.is_valid(term).to_numpy(zero_copy_only=False)
+                flat = row.to_numpy()[there] * len(terms) + term.drop_null().to_numpy().astype(np.int64)
+                counts = np.bincount(flat, minlength=part.num_rows * len(terms)).reshape(part.num_rows, -1)
+                score = np.round(counts.astype(np.float64) @ weights, 6) if len(terms) else np.zeros((part.num_rows, 0))
+                order = np.argsort(-score, axis=1, kind="stable")[:, :top]  # entries stand by id: ties keep that order
+                best = np.take_along_axis(score, order, axis=1)
+                q, k = np.nonzero(best > 0)
+                columns = [part.column("query_id").take(pa.array(q)), names.take(pa.array(order[q, k])), pa.array(best[q, k]), pa.array(k.astype(np.int64) + 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score", "place"])
+
+    return queries.select("query_id", tokens(F.col("text")).alias("words")).mapInArrow(run, f"query_id {key}, id string, score double, place bigint")
+
+
 def unit(vector) -> F.Column:
     """The vector over its length; a vector of length 0 stays."""
     values = F.transform(vector, lambda x: x.cast("double"))

@@ -47,6 +47,15 @@ def test_bm25_repeated_words_and_ties(spark):
     assert set(got) == {(1, "a"), (2, "a")} and abs(got[(1, "a")] - 2 * got[(2, "a")]) < 1e-5
 
 
+def test_bm25_matrix_equals_join(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 30, n))
+    corpus = spark.createDataFrame([(f"e{i:02}", word(12)) for i in range(25)] + [("e99", "")], "id string, text string")
+    asked = spark.createDataFrame([(i, word(9)) for i in range(40)] + [(90, None), (91, "")], "query_id bigint, text string")
+    one, two = (sorted(map(tuple, retrieval.bm25(corpus, asked, 5, cells).collect())) for cells in (10_000, 0))
+    assert one == two and len(one) == 200
+
+
 def test_dense_equals_numpy(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(50, 8))
