@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..functions.text import tokens
 from ..operators import catalog, chunk, ground, merge, providers, retrieval
 from ..operators import select as decide
 
@@ -13,10 +14,9 @@ KEYS = ["query_id"]
 
 
 def lexical_scorer(pairs: DataFrame) -> DataFrame:
-    """A stand-in for a cross-encoder: the share of an entry's words that the text has."""
-    from ..functions.text import evidence_overlap
-
-    return pairs.withColumn("cross_encoder_score", evidence_overlap(F.col("entry_text"), F.col("text")))
+    """A stand-in for a cross-encoder: the share of an entry's words that the text has (both split once, before they are paired)."""
+    share = F.size(F.array_intersect("entry_words", "words")) / F.size("entry_words")
+    return pairs.withColumn("cross_encoder_score", F.when(F.size("entry_words") > 0, share).otherwise(F.lit(0.0)))
 
 
 def run_extraction(documents: DataFrame, catalogue: DataFrame, config: RunConfig = RunConfig(), provider: str = "lexical", scorer=lexical_scorer, embeddings: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -36,8 +36,9 @@ def run_extraction(documents: DataFrame, catalogue: DataFrame, config: RunConfig
         found = found.drop("embedding_distance").join(near.withColumnRenamed("d", "embedding_distance"), ["query_id", "risk_id"], "full_outer")
     found = found.withColumn("candidate_id", F.concat_ws("|", "query_id", "risk_id")).withColumn("cross_encoder_score", F.lit(None).cast("double"))
     fused = retrieval.best(retrieval.rrf_fuse(found, KEYS, "candidate_id", config.lexical_top), KEYS, "rrf", "candidate_id", config.top).withColumnRenamed("rrf", "rrf_score")
-    texts = corpus.select(F.col("id").alias("risk_id"), F.col("text").alias("entry_text"))
-    pairs = fused.drop("cross_encoder_score").join(texts, "risk_id").join(chunks.select("query_id", "text"), "query_id")
+    split = lambda c: F.array_distinct(tokens(F.col(c)))
+    texts = corpus.select(F.col("id").alias("risk_id"), F.col("text").alias("entry_text"), split("text").alias("entry_words"))
+    pairs = fused.drop("cross_encoder_score").join(texts, "risk_id").join(chunks.select("query_id", "text", split("text").alias("words")), "query_id")
     if config.use_cross_encoder:
         scored = decide.classify(
             scorer(pairs), KEYS, "candidate_id", config.threshold_high, config.threshold_low,
@@ -45,6 +46,7 @@ def run_extraction(documents: DataFrame, catalogue: DataFrame, config: RunConfig
         )
     else:
         scored = pairs.where(F.col("rrf_score") >= config.rrf_floor).withColumn("cross_encoder_score", F.lit(None).cast("double")).withColumn("class", F.lit("accepted"))
+    scored = scored.drop("words", "entry_words")
     named = scored.join(entries.select(F.col("id").alias("risk_id"), "name", "description"), "risk_id")
     kept = named.where("class = 'accepted'").withColumn("decision", F.lit("accepted"))
     calls = []

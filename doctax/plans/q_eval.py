@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..config import RunConfig
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import catalog as cat
 from ..operators import enrich, evaluate, expand, ground, merge, mining
 from ..operators import select as sel
+from . import pipeline
 from . import tables as t
 from .q_text import CROSS, EDGES, HOME
 
@@ -266,7 +268,47 @@ def call_usage_by_stage(spark, d):
     )
 
 
+def policy_split(spark, d):
+    """Whole policies on one side: every fifth in the order of a seeded hash is for evaluation."""
+    rows = t.judged(spark, d).select("candidate_id", _policy().alias("policy"))
+    order = Window.orderBy(mining.seeded(0, "policy"), F.col("policy"))
+    side = rows.select("policy").distinct().withColumn("side", F.when(F.row_number().over(order) % 5 == 0, "eval").otherwise("train"))
+    return rows.join(side, "policy").select("candidate_id", "policy", "side")
+
+
+def corpus_retrieval(spark, d):
+    """The risks that any chunk of a document retrieves, and how many of its accepted ones are among them."""
+    rows = t.candidates(spark, d).groupBy("source").agg(
+        F.countDistinct(F.when(F.col("bm25_rank") > 0, F.col("risk_id"))).alias("retrieved"),
+        F.countDistinct(F.when((F.col("bm25_rank") > 0) & (F.col("decision") == "accepted"), F.col("risk_id"))).alias("both"),
+        F.countDistinct(F.when(F.col("decision") == "accepted", F.col("risk_id"))).alias("accepted"),
+    )
+    return rows.select("source", "retrieved", "accepted", F.round(F.when(F.col("accepted") > 0, F.col("both") / F.col("accepted")).otherwise(F.lit(1.0)), 6).alias("recall"))
+
+
+def verdict_examples(spark, d):
+    """Judged candidates as examples: label and the first 200 characters of the quote."""
+    rows = t.judged(spark, d).where("justification is not null")
+    return rows.select("candidate_id", "label", F.substring("justification", 1, 200).alias("quote"))
+
+
+def recall_examples(spark, d):
+    """Of each policy its chunks and the risks that were found relevant."""
+    judged = t.judged(spark, d).withColumn("policy", _policy())
+    ids = judged.where("label = 1").groupBy("policy").agg(F.array_join(F.array_sort(F.collect_set("risk_id")), ",").alias("expected"))
+    chunks = t.chunks(spark, d).where("text is not null").groupBy(_policy().alias("policy")).agg(F.count("*").alias("n_chunks"))
+    return chunks.join(ids, "policy")
+
+
+def extraction_run(spark, d):
+    """The whole run over the documents with the model-free stand-ins: merged matches."""
+    docs = t.table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    result = pipeline.run_extraction(docs, _catalogue(spark, d), RunConfig(score_floor=0.2, grounding_passes=1, top=20))
+    return result["merged"].select("risk_id", "query_id", F.round("confidence", 6).alias("confidence"), "accepted_by", "grounding_confidence", "n_matches")
+
+
 QUERIES = {f.__name__: f for f in (
+    policy_split, corpus_retrieval, verdict_examples, recall_examples, extraction_run,
     judge_semi, ground_filtered_anti, ground_batches, multi_pass_union, variant_expand, variant_grounding, merge_best, evidence_cap, evidence_match,
     quote_token_f1, content_overlap, expand_siblings, grounding_groups, mitigation_fallback, threat_fallback, mitigation_index, action_descriptions,
     prf_overall, prf_by_policy, prf_by_taxonomy, prf_category, macro_micro, heatmap_pivot, differences, threshold_sweep, best_threshold, roc_auc,
@@ -316,6 +358,19 @@ reach AS (
 fresh AS (SELECT dst AS risk_id, min(rid) AS source_risk_id FROM reach WHERE dst NOT IN (SELECT rid FROM found) GROUP BY dst)"""
 _ACTIONS = "action AS (SELECT DISTINCT id AS risk_id, target AS action_id FROM link WHERE predicate IN ('broad', 'related'))"
 SQL = {
+    "policy_split": f"""
+WITH {t.JUDGED}, p AS (SELECT DISTINCT split_part(source, '/', 1) AS policy FROM judged),
+s AS (SELECT policy, CASE WHEN row_number() OVER (ORDER BY md5('0|' || policy), policy) % 5 = 0 THEN 'eval' ELSE 'train' END AS side FROM p)
+SELECT candidate_id, policy, side FROM judged JOIN s ON s.policy = split_part(source, '/', 1)""",
+    "corpus_retrieval": f"""
+WITH {t.CANDIDATES}, c AS (
+  SELECT source, count(DISTINCT risk_id) FILTER (bm25_rank > 0) AS retrieved, count(DISTINCT risk_id) FILTER (bm25_rank > 0 AND decision = 'accepted') AS hit,
+    count(DISTINCT risk_id) FILTER (decision = 'accepted') AS accepted FROM cand GROUP BY source)
+SELECT source, retrieved, accepted, round(CASE WHEN accepted > 0 THEN hit::DOUBLE / accepted ELSE 1.0 END, 6) AS recall FROM c""",
+    "verdict_examples": f"WITH {t.JUDGED} SELECT candidate_id, label, substr(justification, 1, 200) AS quote FROM judged WHERE justification IS NOT NULL",
+    "recall_examples": f"""
+WITH {t.JUDGED}, {t.CHUNKS}, e AS (SELECT split_part(source, '/', 1) AS policy, string_agg(DISTINCT risk_id, ',' ORDER BY risk_id) AS expected FROM judged WHERE label = 1 GROUP BY 1)
+SELECT policy, count(*) AS n_chunks, any_value(expected) AS expected FROM (SELECT split_part(source, '/', 1) AS policy FROM chunk WHERE text IS NOT NULL) JOIN e USING (policy) GROUP BY policy""",
     "judge_semi": f"WITH {t.CANDIDATES}, {t.VERDICTS} SELECT candidate_id, risk_id FROM cand WHERE decision IN ('borderline', 'borderline_judged') AND candidate_id IN (SELECT candidate_id FROM verdict WHERE relevant)",
     "ground_filtered_anti": f"WITH {t.CANDIDATES}, {t.VERDICTS} SELECT cand.candidate_id, cand.risk_id FROM cand JOIN verdict USING (candidate_id) WHERE decision = 'accepted' AND relevant IS NOT TRUE",
     "ground_batches": f"WITH {t.CANDIDATES} SELECT candidate_id, (row_number() OVER (PARTITION BY source, chunk_index ORDER BY candidate_id) - 1) // 15 AS batch FROM cand WHERE decision = 'borderline'",
