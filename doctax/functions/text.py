@@ -130,3 +130,23 @@ def cleaned_description(name: Column, description: Column) -> Column:
     rest = F.substring(description, F.length(name) + len(DEFINITION) + 1, F.length(description))
     rest = F.regexp_replace(rest, r"^(?:if )?(?:whether )?(?:the )?", "")
     return F.when(F.startswith(F.lower(description), head), rest).otherwise(F.coalesce(description, F.lit("")))
+
+
+def instructed(text: Column, instruction: str = "") -> Column:
+    """A query with the instruction that some encoders want; entries are encoded without it."""
+    return F.concat(F.lit(f"Instruct: {instruction}\nQuery:"), text) if instruction else text
+
+
+def preview(text: Column, size: int = 200) -> Column:
+    return F.substring(text, 1, size)
+
+
+def slug(text: Column, size: int = 40) -> Column:
+    """Letters and digits of a text, joined by hyphens, for file names."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, size)
+
+
+def elapsed(seconds: Column) -> Column:
+    """``1m 05s``, or ``5s`` below a minute."""
+    whole = F.floor(seconds).cast("bigint")
+    return F.when(whole < 60, F.concat(whole.cast("string"), F.lit("s"))).otherwise(F.format_string("%dm %02ds", F.floor(whole / 60).cast("bigint"), (whole % 60).cast("bigint")))

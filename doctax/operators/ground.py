@@ -46,3 +46,13 @@ def expand_variants(candidates: DataFrame, bridge: DataFrame) -> DataFrame:
     """Candidates with parents of families replaced by all their variants, scores copied."""
     named = bridge.select(F.col("parent_id").alias("risk_id"), F.col("risk_id").alias("__v"))
     return candidates.join(named, "risk_id", "left").withColumn("risk_id", F.coalesce("__v", "risk_id")).drop("__v")
+
+
+def located(quotes: DataFrame, passages: DataFrame, group: str) -> DataFrame:
+    """``quotes (group, risk_id, quote)`` with the ``chunk_id`` of the first passage that contains the quote, else of the first of its group.
+
+    ``passages`` has ``group, chunk_id, text``; a group has few passages, as grounding asks about at most twenty.
+    """
+    joined = quotes.where("trim(quote) <> ''").join(passages, group)
+    inside = F.min(F.when(F.contains("text", F.col("quote")), F.col("chunk_id")))
+    return joined.groupBy(group, "risk_id", "quote").agg(F.coalesce(inside, F.min("chunk_id")).alias("chunk_id"))

@@ -203,3 +203,9 @@ def test_negatives(spark):
 def test_grounded_needs_quotes(spark):
     rows = spark.createDataFrame([("a", True, ["q"]), ("b", True, [" "]), ("c", False, ["q"]), ("d", True, None)], "risk_id string, grounded boolean, quotes array<string>")
     assert [r.risk_id for r in ground.grounded(rows).collect()] == ["a"]
+
+
+def test_quotes_are_located(spark):
+    passages = spark.createDataFrame([("g", 1, "a b"), ("g", 2, "b c"), ("g", 3, "c")], "g string, chunk_id bigint, text string")
+    quotes = spark.createDataFrame([("g", "r", "c"), ("g", "r", "zz"), ("g", "r", " ")], "g string, risk_id string, quote string")
+    assert {r.quote: r.chunk_id for r in ground.located(quotes, passages, "g").collect()} == {"c": 2, "zz": 1}

@@ -60,3 +60,10 @@ def test_scores(spark):
     assert one(spark, S.finite(F.col("a")), a=float("inf")) is None
     assert abs(one(spark, S.last_softmax(F.array(F.lit(1.0), F.lit(2.0), F.col("a"))), a=3.0) - 0.66524) < 1e-5
     assert one(spark, S.yes_probability(F.col("a"), F.lit(None).cast("double")), a=-10.0) == 0.5
+
+
+def test_small_forms(spark):
+    assert one(spark, X.slug(F.col("t")), t=" Héllo, World! ") == "h-llo-world"
+    assert one(spark, X.instructed(F.col("t"), "find"), t="q") == "Instruct: find\nQuery:q" and one(spark, X.instructed(F.col("t")), t="q") == "q"
+    rows = spark.createDataFrame([(5,), (65,)], "s bigint").select(X.elapsed(F.col("s")).alias("x"))
+    assert [r.x for r in rows.collect()] == ["5s", "1m 05s"]
