@@ -18,16 +18,16 @@ from .common import staged, table
 from .encoding import encode_corpus
 from .topn import top_n_per_group
 
-#: The dynamic programme runs over at most so many tokens, plus twice the longest document.
-WINDOW = 1 << 16
+#: The dynamic programme runs over at most so many tokens, plus some of the longest documents.
+WINDOW = 1 << 11
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each length to take so that their tokens come as near below ``budget`` as can be.
 
-    ``lengths`` are distinct and positive. Far from the budget, the same fraction of every length is
-    taken; the last ``window`` tokens (and twice the longest length) are fitted exactly: among the
-    documents left, the largest reachable sum up to the rest is found.
+    ``lengths`` are distinct, ascending and positive. Far from the budget documents are taken at even steps through all
+    documents by length, so that the lengths keep their distribution. The last ``window`` tokens (and some of the longest lengths) are fitted exactly: among the
+    documents left, in an order that favours no length, the largest reachable sum up to the rest is found.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -35,28 +35,19 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
         return counts.copy()
     if budget <= 0 or not len(lengths):
         return np.zeros_like(counts)
-    span = window + 2 * int(lengths.max())
-    part = max(0, budget - span) / total
-    taken = np.floor(counts * part).astype(np.int64)
+    part = max(0, budget - window - 2 * int(lengths.max())) / total
+    steps = np.floor(np.concatenate([[0], np.cumsum(counts)]) * part + 0.5).astype(np.int64)
+    taken = np.diff(steps)
     rest = budget - int((taken * lengths).sum())
-    for at in np.argsort(-(counts * part - taken), kind="stable"):  # the largest fractions first
-        if rest <= span:
-            break
-        if taken[at] < counts[at]:
-            taken[at] += 1
-            rest -= int(lengths[at])
-    while rest > span:
-        before = rest
-        for at in np.argsort(-lengths, kind="stable"):
-            more = min(int(counts[at] - taken[at]), max(0, (rest - span) // int(lengths[at])))
-            taken[at] += more
-            rest -= more * int(lengths[at])
-        if rest == before:
-            break
+    order = np.random.default_rng(len(lengths)).permutation(len(lengths))
+    for at in order:  # even steps may overshoot by less than one document
+        if rest < 0 and taken[at]:
+            taken[at] -= 1
+            rest += int(lengths[at])
     # bounded knapsack on a bit set: bit s says that the sum s can be reached
     limit = (1 << (rest + 1)) - 1
     reach, trail = 1, []
-    for at in np.argsort(-lengths, kind="stable"):
+    for at in order:
         left, size = min(int(counts[at] - taken[at]), rest // int(lengths[at])), 1
         while left > 0:
             step = min(size, left)
