@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     tests on one machine, a folder of its own is made and set.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = context._jsc.sc().getCheckpointDir()
