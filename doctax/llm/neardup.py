@@ -546,13 +546,13 @@ class SimilarSets:
         return keyed.groupBy("key").cogroup(sets.groupBy("key")).applyInArrow(compared, schema)
 
 
-def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
+def expanded(links: DataFrame, members: DataFrame, most: int | None = COPY_PAIRS) -> DataFrame:
     """Pairs ``(a, b)`` of ids from pairs of representatives: every member of a class for its representative.
 
-    Classes of more than ``COPY_PAIRS`` equal texts are kept as their representative; their members
-    are linked to it, not to all that it is linked to.
+    Classes of more than ``most`` equal texts are kept as their representative; their members
+    are linked to it, not to all that it is linked to. Without ``most`` all members of all classes come.
     """
-    few = members.where(F.col("n") <= COPY_PAIRS)
+    few = members if most is None else members.where(F.col("n") <= most)
     one = few.select(F.col("rep").alias("a"), F.col("id").alias("member_a"))
     two = few.select(F.col("rep").alias("b"), F.col("id").alias("member_b"))
     all_ = links.select("a", "b").join(one, "a", "left").join(two, "b", "left")

@@ -102,14 +102,13 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: s
 
     ``split_col`` has clean names; rows of no split (null) take no part, nor do null ids and texts, or
     texts of fewer than ``min_words`` or ``k`` words. Rows that repeat an id are one text of one split
-    (they should agree). A class of more than ``neardup.COPY_PAIRS`` equal texts of one side is
-    linked through its smallest id; ``neardup.SimilarSets.members`` has the others.
+    (they should agree). All members of a class of equal texts are listed, however many there are.
     """
     role = F.when(F.col(split_col) == train, 1).when(F.col(split_col).isNotNull(), 2)
     rows = df.select(id_col, text_col, role.alias("__role"))
     join = SimilarSets(rows, id_col, text_col, k, threshold, min_words, role_col="__role", boundary=0)
     links = staged(join.links(_by_distance(threshold)).select("a", "b"), "links")
-    pairs = expanded(links, join.members)
+    pairs = expanded(links, join.members, None)
     side = rows.select(F.col(id_col).cast("bigint").alias("a"), "__role").where("__role = 1").distinct()
     marked = pairs.join(side, "a", "left")
     train_id = F.when(F.col("__role") == 1, F.col("a")).otherwise(F.col("b"))

@@ -163,6 +163,22 @@ def test_overlaps_equal_brute_force(spark):
     assert got == want
 
 
+def test_overlaps_list_all_members_of_large_classes(spark):
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, same, "train") for i in range(70)] + [(100 + i, same, "test" if i % 2 else "validation") for i in range(80)] + [(500, same + " thirteen", "test")]
+    df = spark.createDataFrame(rows, "id bigint, t string, s string").repartition(3)
+    got = [(r.train_id, r.eval_id) for r in overlap.cross_split_overlaps(df, "id", "t", "s", k=3, threshold=0.5, min_words=12).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(70) for j in [*range(100, 180), 500]}
+
+
+def test_report_counts_all_members_of_large_classes(spark, tmp_path):
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(0, same, "train", "a.md")] + [(i, same, "validation" if i <= 30 else "test", "b.md" if i <= 30 else "c.md") for i in range(1, 71)]
+    spark.createDataFrame(rows, "chunk_id bigint, text string, split_name string, source string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {tuple(r) for r in overlap.p6_report(spark, str(tmp_path)).collect()}
+    assert got == {("validation", "b.md", 30, 30, 1), ("test", "c.md", 40, 40, 1)}
+
+
 def test_banded_distance():
     rng = np.random.default_rng(1)
     one, two = [], []
