@@ -174,6 +174,16 @@ def test_tree_matching_and_templates(spark):
     assert markup.clean_markup(df.limit(0), "id", "c", "host").count() == 0
 
 
+def test_template_of_pages_that_are_not_the_richest(spark):
+    rich = [(i, f"<h1>Part {i}</h1><ul><li>point {i}</li></ul><table><tr><td>{i}</td></tr></table>" + f"<p>text <b>no {i}</b></p>" * (i % 4 + 1), "h") for i in range(30)]
+    plain = [(100 + i, "<nav><a>Home</a><a>List</a></nav>" + "".join(f"<p>words {i} {j}</p>" for j in range(i % 5 + 1)), "h") for i in range(10)]
+    copies = [(200 + i, "<section><p>Equal pages are one page</p></section>", "h") for i in range(6)]
+    df = spark.createDataFrame([*rich, rich[0], rich[0], *plain, *copies], "id bigint, c string, host string").repartition(3)
+    got = {r.id: r.clean for r in markup.clean_markup(df, "id", "c", "host").collect()}
+    assert not any("Home" in c or "List" in c for c in got.values())
+    assert all(got[100 + i].startswith(f"words {i} 0") for i in range(10)) and got[203] == "Equal pages are one page" and "# Part 7" in got[7]
+
+
 RESIDUE = ["Error 404: Page not found", "Dear {{name}}, welcome.", "This policy is owned by [insert name here].", "Please enable JavaScript to view this page.", "Lorem ipsum dolor sit amet", "Traceback (most recent call last):", "Contact <Add department> please", "找不到页面。"]
 PROSE = ["The message \"access denied\" must not reveal why records are locked.", "Names in square brackets are placeholders and the editor fills them.", "The annex [see item 9] and the table [404] describe records.", "The notice that JavaScript is required must be offered in every language.", "It cost $4,700 instead of $76,600.", "total += 1"]
 
