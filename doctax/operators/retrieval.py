@@ -200,6 +200,18 @@ def hybrid(candidates: DataFrame, keys: list[str], id_col: str, top: int = 10, f
     return best(scored, keys, "__score", id_col, top).where("__score is not null").drop("__score")
 
 
+def reranked(scored: DataFrame, keys: list[str], id_col: str, top: int, rescue_rank: int = 0) -> DataFrame:
+    """Scored candidates of the fused list cut to the ``top`` of each group by the cross-encoder, with their ``place``.
+
+    The cut comes before scores that aren't finite are dropped; what BM25 ranks up to ``rescue_rank`` stays.
+    """
+    marked = scored.withColumn("__score", finite(F.col("cross_encoder_score")))
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__score"), F.asc(id_col))
+    rescued = F.coalesce(F.col("lexical_rank") <= rescue_rank, F.lit(False))
+    kept = (F.col("place") <= top) & F.col("__score").isNotNull()
+    return marked.withColumn("place", F.row_number().over(order).cast("bigint")).where(kept | rescued).drop("__score")
+
+
 def rescue(candidates: DataFrame, keys: list[str], id_col: str, top: int = 10, rescue_rank: int = 5) -> DataFrame:
     """Reranked candidates and those of the fused list that BM25 ranks up to ``rescue_rank`` but reranking lost."""
     fused = best(rrf_fuse(candidates, keys, id_col), keys, "rrf", id_col, 2 * top, "fused_place")

@@ -35,31 +35,36 @@ def run_extraction(documents: DataFrame, catalogue: DataFrame, config: RunConfig
         near = retrieval.dense(embeddings[1], embeddings[0], config.dense_top).select(F.col("query_id").cast("string"), F.col("id").cast("string").alias("risk_id"), (1 - F.col("similarity")).alias("d"))
         found = found.drop("embedding_distance").join(near.withColumnRenamed("d", "embedding_distance"), ["query_id", "risk_id"], "full_outer")
     found = found.withColumn("candidate_id", F.concat_ws("|", "query_id", "risk_id")).withColumn("cross_encoder_score", F.lit(None).cast("double"))
-    fused = retrieval.best(retrieval.rrf_fuse(found, KEYS, "candidate_id", config.lexical_top), KEYS, "rrf", "candidate_id", config.top).withColumnRenamed("rrf", "rrf_score")
+    fused = retrieval.best(retrieval.rrf_fuse(found, KEYS, "candidate_id", config.lexical_top), KEYS, "rrf", "candidate_id", 2 * config.top, "fused_place").withColumnRenamed("rrf", "rrf_score")
     split = lambda c: F.array_distinct(tokens(F.col(c)))
     texts = corpus.select(F.col("id").alias("risk_id"), F.col("text").alias("entry_text"), split("text").alias("entry_words"))
-    pairs = fused.drop("cross_encoder_score").join(texts, "risk_id").join(chunks.select("query_id", "text", split("text").alias("words")), "query_id")
+    pairs = fused.drop("cross_encoder_score").join(F.broadcast(texts), "risk_id").join(chunks.select("query_id", "text", split("text").alias("words")), "query_id")
+    wide = ("text", "entry_text", "words", "entry_words")  # texts stay out of what is ranked and joined again
     if config.use_cross_encoder:
         scored = decide.classify(
-            scorer(pairs), KEYS, "candidate_id", config.threshold_high, config.threshold_low,
+            retrieval.reranked(scorer(pairs).drop(*wide), KEYS, "candidate_id", config.top, config.rescue_rank), KEYS, "candidate_id", config.threshold_high, config.threshold_low,
             accept=config.accept, judge=config.judge, floor=config.score_floor, rescue_rank=config.rescue_rank,
         )
     else:
-        scored = pairs.where(F.col("rrf_score") >= config.rrf_floor).withColumn("cross_encoder_score", F.lit(None).cast("double")).withColumn("class", F.lit("accepted"))
-    scored = scored.drop("words", "entry_words")
-    named = scored.join(entries.select(F.col("id").alias("risk_id"), "name", "description"), "risk_id")
-    kept = named.where("class = 'accepted'").withColumn("decision", F.lit("accepted"))
+        scored = pairs.drop(*wide).where((F.col("rrf_score") >= config.rrf_floor) & (F.col("fused_place") <= config.top)).withColumn("cross_encoder_score", F.lit(None).cast("double")).withColumn("class", F.lit("accepted"))
+    names = F.broadcast(entries.select(F.col("id").alias("risk_id"), "name", "description"))
+    read = chunks.select("query_id", "text")
+    named = scored.join(names, "risk_id").join(read, "query_id")
+    chosen = scored.where("class in ('accepted', 'borderline')").join(names.select("risk_id"), "risk_id", "left_semi").persist()
+    borderline = chosen.where("class = 'borderline'")
+    ask = lambda rows: payloads(rows.join(names, "risk_id"), read)
+    kept = chosen.where("class = 'accepted'").withColumn("decision", F.lit("accepted"))
     calls = []
     if config.use_judge and config.use_cross_encoder:
-        asked = providers.call_model(payloads(named.where("class = 'borderline'")), "judge", provider).persist()
+        asked = providers.call_model(ask(borderline), "judge", provider).persist()
         calls.append(asked)
         said = providers.verdicts(asked).select(F.col("key").alias("query_id"), "risk_id", "relevant")
-        judged = ground.confirmed(named.where("class = 'borderline'"), said, ["query_id", "risk_id"], "relevant")
+        judged = ground.confirmed(borderline, said, ["query_id", "risk_id"], "relevant")
         kept = kept.unionByName(judged.withColumn("decision", F.lit("borderline_judged")))
     matches = kept.withColumn("confidence", decide.confidence(config.use_cross_encoder)).withColumn("accepted_by", decide.accepted_by(config.use_cross_encoder))
     if config.use_grounding:
         passes = F.explode(F.sequence(F.lit(1), F.lit(config.grounding_passes)))
-        asked = payloads(kept).withColumn("pass", passes).withColumn("key", F.concat_ws("@", "key", F.col("pass").cast("string")))
+        asked = ask(kept).withColumn("pass", passes).withColumn("key", F.concat_ws("@", "key", F.col("pass").cast("string")))
         asked = providers.call_model(asked, "ground", provider).persist()
         calls.append(asked)
         said = ground.grounded(providers.verdicts(asked)).withColumn("query_id", F.split_part("key", F.lit("@"), F.lit(1))).withColumn("pass", F.split_part("key", F.lit("@"), F.lit(2)).cast("int"))
@@ -75,8 +80,8 @@ def run_extraction(documents: DataFrame, catalogue: DataFrame, config: RunConfig
     return {"chunks": chunks, "candidates": named, "matches": matches, "merged": merged} | ({"calls": log} if log is not None else {})
 
 
-def payloads(candidates: DataFrame, size: int = 15) -> DataFrame:
-    """``(key, payload)`` of calls about the candidates of each chunk; the key is the chunk."""
+def payloads(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(key, payload)`` of calls about the candidates of each chunk; the key is the chunk, ``texts`` has ``query_id, text``."""
     risk = F.struct("risk_id", F.col("name").alias("risk_name"), F.col("description").alias("risk_description"))
-    grouped = candidates.groupBy(F.col("query_id").alias("key")).agg(F.first("text").alias("text"), F.array_sort(F.collect_list(risk)).alias("risks"))
-    return grouped.select("key", F.to_json(F.struct("text", "risks")).alias("payload"))
+    grouped = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(risk)).alias("risks")).join(texts, "query_id")
+    return grouped.select(F.col("query_id").alias("key"), F.to_json(F.struct("text", "risks")).alias("payload"))

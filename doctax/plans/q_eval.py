@@ -303,7 +303,7 @@ def recall_examples(spark, d):
 def extraction_run(spark, d):
     """The whole run over the documents with the model-free stand-ins: merged matches."""
     docs = t.table(spark, d, "documents").select("doc_id", "text").where("text is not null")
-    result = pipeline.run_extraction(docs, _catalogue(spark, d), RunConfig(score_floor=0.2, grounding_passes=1, top=20))
+    result = pipeline.run_extraction(docs, _catalogue(spark, d), RunConfig(score_floor=0.2))
     return result["merged"].select("risk_id", "query_id", F.round("confidence", 6).alias("confidence"), "accepted_by", "grounding_confidence", "n_matches")
 
 

@@ -39,6 +39,28 @@ def test_run_without_models(spark, catalogue):
     assert pipeline.run_extraction(docs.limit(0), catalogue, config)["merged"].count() == 0
 
 
+def test_scorer_sees_twice_the_top(spark, catalogue):
+    from pyspark.sql import functions as F
+
+    rows = [(f"e{i:02d}", "alpha " * (20 - i) + f"own{i}", "", None, None, "t", None) for i in range(20)]
+    docs = spark.createDataFrame([(1, "alpha")], "doc_id bigint, text string")
+    late = lambda pairs: pairs.withColumn("cross_encoder_score", F.when(F.col("bm25_rank") > 5, 0.9).otherwise(0.1))
+    config = RunConfig(top=5, accept=5, use_judge=False, use_grounding=False, score_floor=0.5)
+    got = pipeline.run_extraction(docs, spark.createDataFrame(rows, CATALOGUE), config, scorer=late)
+    found = got["candidates"].select("bm25_rank", "class").collect()
+    assert {r.bm25_rank for r in found} == set(range(6, 11)) and {r["class"] for r in found} == {"accepted"}
+
+
+def test_extraction_run_has_the_defaults(spark, monkeypatch):
+    from doctax.plans import q_eval
+
+    seen = []
+    monkeypatch.setattr(q_eval.t, "table", lambda *a: spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
+    monkeypatch.setattr(q_eval.pipeline, "run_extraction", lambda docs, catalogue, config: seen.append(config) or {"merged": spark.createDataFrame([], "risk_id string, query_id string, confidence double, accepted_by string, grounding_confidence string, n_matches bigint")})
+    q_eval.extraction_run(spark, "")
+    assert (seen[0].top, seen[0].grounding_passes) == (RunConfig().top, RunConfig().grounding_passes)
+
+
 def test_provider_errors_are_rows(spark):
     class Broken:
         def __call__(self, stage, payload):
