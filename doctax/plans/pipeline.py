@@ -23,7 +23,8 @@ def run_extraction(documents: DataFrame, catalogue: DataFrame, config: RunConfig
     """The stages of a run over ``documents (doc_id, text)``: chunks, candidates, calls, matches, merged.
 
     ``embeddings`` may give vectors of chunks and of entries, each ``(id, v)``; without them retrieval is lexical
-    only. Model calls are persisted: they are made once. Documents without text give nothing.
+    only. Model calls are persisted: they are made once. Documents without text give nothing. Without a judge
+    borderline candidates are promoted. The README lists the stages that a run leaves out.
     """
     entries = catalog.collapse_variants(catalog.prune_agentic(catalogue, documents))
     corpus = retrieval.corpus_of(entries)
@@ -61,7 +62,9 @@ def run_extraction(documents: DataFrame, catalogue: DataFrame, config: RunConfig
         said = providers.verdicts(asked).select(F.col("key").alias("query_id"), "risk_id", "relevant")
         judged = ground.confirmed(borderline, said, ["query_id", "risk_id"], "relevant")
         kept = kept.unionByName(judged.withColumn("decision", F.lit("borderline_judged")))
-    matches = kept.withColumn("confidence", decide.confidence(config.use_cross_encoder)).withColumn("accepted_by", decide.accepted_by(config.use_cross_encoder))
+    elif config.use_cross_encoder:
+        kept = kept.unionByName(borderline.withColumn("decision", F.lit("borderline_judged")))
+    matches = kept.withColumn("confidence", decide.confidence(config.use_cross_encoder)).withColumn("accepted_by", decide.accepted_by(config.use_cross_encoder, not config.use_judge))
     if config.use_grounding:
         passes = F.explode(F.sequence(F.lit(1), F.lit(config.grounding_passes)))
         asked = ask(kept).withColumn("pass", passes).withColumn("key", F.concat_ws("@", "key", F.col("pass").cast("string")))

@@ -61,6 +61,13 @@ def test_extraction_run_has_the_defaults(spark, monkeypatch):
     assert (seen[0].top, seen[0].grounding_passes) == (RunConfig().top, RunConfig().grounding_passes)
 
 
+def test_borderline_is_promoted_without_a_judge(spark, catalogue):
+    docs = spark.createDataFrame([(1, "data leakage and biased hiring of people")], "doc_id bigint, text string")
+    config = RunConfig(accept=1, use_judge=False, use_grounding=False, score_floor=0.1)
+    got = {r.risk_id: r.accepted_by for r in pipeline.run_extraction(docs, catalogue, config)["merged"].collect()}
+    assert set(got) >= {"r1", "r3"} and set(got.values()) == {"threshold", "auto_promoted"}
+
+
 def test_provider_errors_are_rows(spark):
     class Broken:
         def __call__(self, stage, payload):
