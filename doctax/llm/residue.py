@@ -68,6 +68,10 @@ PLACES = tuple(
     )
 )
 
+#: What each of them needs at least: one of these characters, or a run of dots or letters of a date before its mark.
+_OPENS = "[]{}<>$%@#_(（【/年«〈《"
+_BARE = re.compile(r"\.{8}|(?:DD|TT|JJ|MM|XX|YYYY|JJJJ|AAAA)[./\-]", re.I)
+
 # Passages that are trusted: messages of failed pages and programs, notices on scripts, filler.
 TRUSTED = tuple(
     re.compile(p, re.I)
@@ -136,7 +140,7 @@ def features(passage: str, cache: dict[str, int]) -> tuple[list[int], bool]:
     """The hashed features of a passage, and whether it has a place to be filled in."""
     names: set[str] = set()
     bare, place = _BLOB.sub(" ", passage) if len(passage) >= 32 else passage, False
-    if not passage.isalpha() and any(c in passage for c in "[]{}<>$%@#_(（【/…年"):
+    if not passage.isalpha() and (any(c in passage for c in _OPENS) or _BARE.search(passage)):
         for pattern in PLACES:
             bare, n = pattern.subn(" ", bare)
             if n:

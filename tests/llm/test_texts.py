@@ -188,6 +188,12 @@ RESIDUE = ["Error 404: Page not found", "Dear {{name}}, welcome.", "This policy
 PROSE = ["The message \"access denied\" must not reveal why records are locked.", "Names in square brackets are placeholders and the editor fills them.", "The annex [see item 9] and the table [404] describe records.", "The notice that JavaScript is required must be offered in every language.", "It cost $4,700 instead of $76,600.", "total += 1"]
 
 
+def test_places_without_common_marks():
+    alone = ["Fragen bitte an TT.MM.JJJJ.", "due DD-MM-YYYY", "since yyyy-mm-dd", "on XX.XX.20XX", "The next review takes place on «company».", "signed ........", "at 〈insert name〉", "in 《请填写名称》"]
+    assert [residue.features(p, {})[1] for t in alone for p in residue.passages(t)] == [True] * len(alone)
+    assert not any(residue.features(p, {})[1] for p in ("He waited...", "max. 30 mm. Then", "a well-known «good old» rule"))
+
+
 def test_residue(spark):
     rng = random.Random(1)
     subject, verb, thing = ["The board", "Each editor", "The records unit"], ["keeps", "reviews", "describes", "offers"], ["records in every language", "the annex and the table", "why records are locked", "names and notices", "placeholders and brackets"]
