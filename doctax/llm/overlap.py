@@ -6,15 +6,17 @@ shingles that only one has; with sizes s and t, a Jaccard similarity of at least
 distance of at most k = s + t - 2 * ceil(J / (1 + J) * (s + t)). A passage moved elsewhere costs few
 edits in this form, where it would cost its whole length in plain characters.
 
-* Evaluation strings are cut into segments, one more than edits that can hit them: an edit spoils one segment,
-  so one stays whole. The rare end of the string is cut into single symbols and the remainder is the
-  last segment, which needs no look-up of its own: if it alone is whole, so are the symbols before it in every pair
-  that is near enough.
-* Training strings are indexed by their symbols. A match counts only at allowed positions: before it no
-  more may have been deleted or inserted than the two lengths allow.
-* Pairs that match, and whose symbols' parities don't already differ in more than k bits, are verified by dynamic programming in a band of k around the diagonal.
-
-The exchange of segments, positions and parity maps is that of ``neardup``; pairs are evaluation with training only.
+* Strings are cut into segments by a hash of their symbols, evaluation and training strings alike, so a segment is the
+  same stretch of symbols in both. Cutting into k + 1 segments, of which an edit spoils one at most, isn't possible in general here: k
+  is about two thirds of a string, so segments would be one or two symbols, and at least as many of one symbol as the
+  prefix of an inverted-list join has. So there are fewer and longer segments, and the edits are shared out: in at least
+  one segment there are no more than its share, (1 - J) / (1 + J) of its two lengths.
+* Segments of training strings are indexed by their symbols, those of evaluation strings look them up (the other way
+  round where the evaluation segment is the shorter). A match counts only at allowed positions: what stands before it
+  in both, and the parities of what stands after, may not exceed the share of edits.
+* Pairs that match are verified by dynamic programming in a band of k around the diagonal of the whole strings.
+
+The exchange of segments is that of ``neardup``; lists are kept apart by side, so that only evaluation and training meet.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .neardup import PAIRS_SQL, SimilarSets, expanded
+from .neardup import PAIRS_SQL, SimilarSets
 from .splits import FILE_SQL, canonical_source, split_value
 
 
@@ -104,38 +106,61 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: s
     texts of fewer than ``min_words`` or ``k`` words. Rows that repeat an id are one text of one split
     (they should agree). All members of a class of equal texts are listed, however many there are.
     """
+    links, members = class_overlaps(df, id_col, text_col, split_col, train, k, threshold, min_words)
+    one = members.select(F.col("rep").alias("train_rep"), F.col("id").alias("train_id"))
+    two = members.select(F.col("rep").alias("eval_rep"), F.col("id").alias("eval_id"))
+    pairs = links.join(one, "train_rep", "left").join(two, "eval_rep", "left")
+    return pairs.select(F.coalesce("train_id", "train_rep").alias("train_id"), F.coalesce("eval_id", "eval_rep").alias("eval_id"))
+
+
+def class_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", k: int = 5, threshold: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The links ``(train_rep, eval_rep)`` between classes of equal texts, and the members ``(id, rep, n)`` of the classes of more than one text.
+
+    Texts of the training split and of the others are different classes. The members grow with the texts, the links
+    don't grow with copies.
+    """
     role = F.when(F.col(split_col) == train, 1).when(F.col(split_col).isNotNull(), 2)
     rows = df.select(id_col, text_col, role.alias("__role"))
-    join = SimilarSets(rows, id_col, text_col, k, threshold, min_words, role_col="__role", boundary=0)
+    join = SimilarSets(rows, id_col, text_col, k, threshold, min_words, role_col="__role")
     links = staged(join.links(_by_distance(threshold)).select("a", "b"), "links")
-    pairs = expanded(links, join.members, None)
-    side = rows.select(F.col(id_col).cast("bigint").alias("a"), "__role").where("__role = 1").distinct()
-    marked = pairs.join(side, "a", "left")
-    train_id = F.when(F.col("__role") == 1, F.col("a")).otherwise(F.col("b"))
-    eval_id = F.when(F.col("__role") == 1, F.col("b")).otherwise(F.col("a"))
-    return marked.select(train_id.alias("train_id"), eval_id.alias("eval_id"))
+    side = rows.where("__role = 1").select(F.col(id_col).cast("bigint").alias("a"), F.lit(True).alias("first")).distinct()
+    marked = links.join(side, "a", "left")
+    train_rep, eval_rep = F.when(F.col("first"), F.col("a")).otherwise(F.col("b")), F.when(F.col("first"), F.col("b")).otherwise(F.col("a"))
+    return staged(marked.select(train_rep.alias("train_rep"), eval_rep.alias("eval_rep")), "overlaps"), staged(join.members.select("id", "rep", "n"), "members")
 
 
-def _pairs(spark, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "text", split_value(F.col("split_name")).alias("split"))
-    return cross_split_overlaps(chunks, "chunk_id", "text", "split", k=3, threshold=0.5, min_words=12)
+def _chunks(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").select("chunk_id", "text", split_value(F.col("split_name")).alias("split"))
+
+
+#: As problem 3 has it: three words, half in common, twelve words at least.
+CASE = {"k": 3, "threshold": 0.5, "min_words": 12}
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
     """Pairs of similar chunks of which one is in train and the other in validation or test."""
     pair = F.least("train_id", "eval_id").alias("chunk_id_a"), F.greatest("train_id", "eval_id").alias("chunk_id_b")
-    return _pairs(spark, sf_dir).select(*pair)
+    return cross_split_overlaps(_chunks(spark, sf_dir), "chunk_id", "text", "split", **CASE).select(*pair)
 
 
 def p6_report(spark, sf_dir: str) -> DataFrame:
-    """Per split and source of the evaluation side: chunks that overlap with train, and pairs."""
-    pairs = staged(_pairs(spark, sf_dir), "pairs")
-    of = table(spark, sf_dir, "chunks").select(
-        F.col("chunk_id").alias("eval_id"), split_value(F.col("split_name")).alias("split"), canonical_source(F.col("source")).alias("source")
-    ).distinct()
-    return pairs.join(of, "eval_id").groupBy("split", "source").agg(
-        F.countDistinct("eval_id").alias("chunks"), F.count("*").alias("pairs"), F.countDistinct("train_id").alias("train_chunks")
-    )
+    """Per split and source of the evaluation side: chunks that overlap with train, pairs, and the training chunks in them.
+
+    Counted from classes and their members, so that copies aren't expanded into pairs.
+    """
+    links, members = class_overlaps(_chunks(spark, sf_dir), "chunk_id", "text", "split", **CASE)
+    of = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("id"), split_value(F.col("split_name")).alias("split"), canonical_source(F.col("source")).alias("source"))
+    of = of.where("split <> 'train'").distinct().join(members.select("id", "rep"), "id", "left").select("split", "source", F.coalesce("rep", "id").alias("eval_rep"))
+    held = of.groupBy("split", "source", "eval_rep").agg(F.count("*").alias("held"))
+    size = members.select(F.col("rep").alias("train_rep"), F.col("n").alias("train_n")).distinct()
+    met = links.join(size, "train_rep", "left").withColumn("train_n", F.coalesce("train_n", F.lit(1)))
+    pairs = staged(held.join(met, "eval_rep"), "held")
+    key = ["split", "source"]
+    texts = pairs.groupBy(*key, "eval_rep").agg(F.first("held").alias("held"), F.sum(F.col("held") * F.col("train_n")).alias("pairs"))
+    texts = texts.groupBy(*key).agg(F.sum("held").alias("chunks"), F.sum("pairs").alias("pairs"))
+    trained = pairs.select(*key, "train_rep", "train_n").distinct().groupBy(*key).agg(F.sum("train_n").alias("train_chunks"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in key]
+    return texts.alias("x").join(trained.alias("y"), same).select("x.split", "x.source", "chunks", "pairs", "train_chunks")
 
 
 QUERIES = {"p6_found": p6_found, "p6_report": p6_report}

@@ -137,6 +137,34 @@ def test_many_copies_are_a_star(spark):
     assert got == {(0, i) for i in range(1, 100)} | {(0, 200)}
     groups = neardup.duplicate_groups(df, "id", "t", 3, 0.5)
     assert groups.count() == 101 and {r.group_id for r in groups.collect()} == {0}
+    assert {(r.rep, r.links) for r in groups.collect()} == {(0, 100), (200, 1)}
+
+
+def test_groups_have_every_id(spark):
+    rows = [(1, "Contents"), (2, "contents!"), (3, "Contents page"), (4, None), (5, ""), (6, "a b c d e f g"), (7, "A b c d e, f g"), (None, "Contents"), (1, "Contents")]
+    got = {r.id: (r.group_id, r.rep, r.links) for r in neardup.duplicate_groups(spark.createDataFrame(rows, "id bigint, t string"), "id", "t").collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 3, 0), 4: (4, 4, 0), 5: (5, 5, 0), 6: (6, 6, 1), 7: (6, 6, 1)}
+
+
+@pytest.mark.parametrize("parts,hot,boundary", [(1, 10, 0), (40, 6, 30), (7, 50_000, 18)])
+def test_blocks_of_long_lists_and_any_number_of_parts(spark, parts, hot, boundary):
+    rows = texts(200, 77)
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    got = neardup.near_duplicates(df, "id", "t", 2, 0.5, 4, boundary, parts, hot).collect()
+    assert len(got) == len(set(got)) and {(r.a, r.b) for r in got} == brute_pairs(rows, 2, 0.5, 4)
+
+
+def test_tiers_of_very_different_sizes(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = [f"v{rng.randrange(400)}" for _ in range(int(6 * 2 ** (rng.random() * 8)))]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[: rng.randint(len(words) // 2, len(words))])), (3 * i + 2, " ".join(w for w in words if rng.random() > 0.05))]
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    assert len(neardup.size_tiers({len(t.split()): 1 for _, t in rows}, 0.5, 0)) > 2
+    for boundary in (None, 40):
+        got = neardup.near_duplicates(df, "id", "t", 2, 0.5, 1, boundary).collect()
+        assert {(r.a, r.b) for r in got} == brute_pairs(rows, 2, 0.5, 1)
 
 
 def test_no_texts(spark):
