@@ -6,7 +6,8 @@ block refine their cutoffs at once: rows above the middle of each group's interv
 the interval's half that still brackets the N-th row is kept, until each group holds exactly N.
 
 The cut runs twice. Before the shuffle every task cuts its own rows, so a group of any size sends at
-most N rows per block; after the shuffle on the group, the same cut runs over what is left. No group
+most N rows per block; after the shuffle on the group, the same cut runs over what is left, sorted by group and block by block:
+groups that have ended leave, a group larger than a block is cut as it comes. No group
 is ever gathered whole, and there is one shuffle of reduced rows.
 """
 
@@ -99,7 +100,9 @@ def cut_mask(group: np.ndarray, groups: int, score: np.ndarray, ids: np.ndarray,
     return mask
 
 
-def _cutter(group_cols: list[str], score_col: str, id_col: str, n: int | str, block_rows: int, flush: bool):
+def _cutter(group_cols: list[str], score_col: str, id_col: str, n: int | str, block_rows: int, grouped: bool):
+    """Cuts rows to N per group, block by block; ``grouped`` rows come with those of a group together."""
+
     def cut(held: pa.Table) -> pa.Table:
         group, groups = dense_groups([held.column(c) for c in group_cols])
         if isinstance(n, str):
@@ -116,9 +119,14 @@ def _cutter(group_cols: list[str], score_col: str, id_col: str, n: int | str, bl
             waiting.append(batch)
             rows += batch.num_rows
             if rows >= block_rows:
-                held = cut(pa.Table.from_batches([*(held.to_batches() if held else []), *waiting]))
+                held = cut(pa.Table.from_batches([*(held.to_batches() if held is not None else []), *waiting]))
                 waiting, rows = [], 0
-                if flush and held.num_rows > 2 * block_rows:
+                if grouped and held.num_rows:  # all groups but the last have ended
+                    group, _ = dense_groups([held.column(c) for c in group_cols])
+                    ended = int(np.argmax(group == group[-1]))
+                    yield from held.slice(0, ended).to_batches()
+                    held = held.slice(ended)
+                elif not grouped and held.num_rows > 2 * block_rows:
                     yield from held.to_batches()
                     held = None
         parts = [*(held.to_batches() if held is not None else []), *waiting]
@@ -142,9 +150,9 @@ def top_n_per_group(
     score = F.col(score_col).cast("double")
     usable = df.where(score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")))
     usable = usable.withColumn("__score", score)
-    local = usable.mapInArrow(_cutter(group_cols, "__score", id_col, n, block_rows, True), usable.schema)
-    spread = local.repartition(*group_cols)
-    return spread.mapInArrow(_cutter(group_cols, "__score", id_col, n, block_rows, False), usable.schema).drop("__score")
+    local = usable.mapInArrow(_cutter(group_cols, "__score", id_col, n, block_rows, False), usable.schema)
+    spread = local.repartition(*group_cols).sortWithinPartitions(*group_cols)
+    return spread.mapInArrow(_cutter(group_cols, "__score", id_col, n, block_rows, True), usable.schema).drop("__score")
 
 
 def standing_candidates(candidates: DataFrame) -> DataFrame:
