@@ -2,7 +2,8 @@
 
 The least number of pieces is computed from the limit and the overlap, equal-length targets are
 placed, and each target is snapped to the strongest boundary nearby that keeps every piece within
-the limit. If a limit fails, one piece more is tried. Lengths are Unicode code points.
+the limit. If a limit fails, or a cut would miss a boundary that one piece more could use, one piece more is tried.
+Lengths are Unicode code points.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -27,14 +28,20 @@ _BOUNDARIES = (
 )
 
 
+_CLOSING = frozenset("\"'”’»)]」』）。！？；.!?…;:,，、：>")
+
+
 def _snap(text: str, target: int, low: int, high: int) -> int:
     """The place of the strongest boundary in [low, high], the nearest to the target if several."""
     if low >= high:
         return max(low, min(target, high))
-    reach = 200  # a match that ends in the window may begin before it
+    begin = low  # a match that ends in the window may begin before it, with a tag, marks and blanks
+    while begin > 0 and (text[begin - 1].isspace() or text[begin - 1] in _CLOSING):
+        begin -= 1
+    begin = max(0, begin - 16)
     for _, pattern in _BOUNDARIES:
         best = -1
-        for found in pattern.finditer(text, max(0, low - reach), min(len(text), high + 2)):
+        for found in pattern.finditer(text, begin, min(len(text), high + 2)):
             end = found.end()
             if end > high:
                 break
@@ -63,34 +70,40 @@ def split_points(text: str, max_chars: int, overlap: int) -> list[tuple[int, int
         return [(0, size)]
     step = max_chars - overlap
     least = -(-(size - overlap) // step)
-    fallback = None
-    for count in range(least, least + 4):
-        cuts, start, failed = [], 0, False
-        for k in range(1, count):
-            target = round(size * k / count)
-            # what comes after must still fit into the pieces that are left
-            low = max(start + 1, size - (count - k) * step, overlap if k == 1 else 0)
-            high = min(start + (max_chars if k == 1 else step), size - 1)
-            if low > high:
-                failed = True
-                break
-            slack = max(1, (size // count) // 3)
-            near_low, near_high = max(low, target - slack), min(high, target + slack)
-            cut = _snap(text, target, near_low, near_high) if near_low <= near_high else _snap(text, target, low, high)
-            cuts.append(cut)
-            start = cut
-        if not failed:
-            edges = [0, *cuts, size]
-            pieces = [(max(0, edges[i] - (overlap if i else 0)), edges[i + 1]) for i in range(count)]
-            if all(0 < b - a <= max_chars for a, b in pieces):
-                strong = all(_is_boundary(text, c) for c in cuts)
-                if strong or count == least + 3 or not _has_boundaries(text):
-                    return pieces
-                fallback = pieces
-    if fallback is None:
-        edges = [0, *range(max_chars, size, step), size]
-        fallback = [(max(0, edges[i] - (overlap if i else 0)), edges[i + 1]) for i in range(len(edges) - 1)]
-    return fallback
+    for count in range(least, 2 * least + 2):
+        if (cuts := _cuts(text, size, count, max_chars, step, overlap)) is not None:
+            return _pieces([0, *cuts, size], overlap)
+    # the farthest boundary within each step: twice the least number of pieces isn't enough for balanced ones
+    cuts, start = [], 0
+    while size - start > (step if cuts else max_chars):
+        high = start + (step if cuts else max_chars)
+        cuts.append(_snap(text, high, max(start + 1, overlap if not cuts else 0), high))
+        start = cuts[-1]
+    return _pieces([0, *cuts, size], overlap)
+
+
+def _pieces(edges: list[int], overlap: int) -> list[tuple[int, int]]:
+    return [(max(0, edges[i] - (overlap if i else 0)), edges[i + 1]) for i in range(len(edges) - 1)]
+
+
+def _cuts(text: str, size: int, count: int, max_chars: int, step: int, overlap: int) -> list[int] | None:
+    """The cuts of ``count`` balanced pieces; None if a limit fails or there is a boundary that only more pieces could use."""
+    cuts, start, slack = [], 0, max(1, (size // count) // 3)
+    for k in range(1, count):
+        target, first = round(size * k / count), start + 1 if k > 1 else max(1, overlap)
+        # what comes after must still fit into the pieces that are left
+        low, high = max(first, size - (count - k) * step), min(start + (max_chars if k == 1 else step), size - 1)
+        if low > high:
+            return None
+        near_low, near_high = max(low, target - slack), min(high, target + slack)
+        cut = _snap(text, target, near_low, near_high) if near_low <= near_high else _snap(text, target, low, high)
+        if not _is_boundary(text, cut):
+            cut = _snap(text, target, low, high)
+        if not _is_boundary(text, cut) and low > first and _is_boundary(text, _snap(text, low, first, low)):
+            return None
+        cuts.append(cut)
+        start = cut
+    return cuts if size - start <= (step if cuts else max_chars) else None
 
 
 def _is_boundary(text: str, place: int) -> bool:
@@ -98,35 +111,31 @@ def _is_boundary(text: str, place: int) -> bool:
     return before.isspace() or before in "。！？；，、：>" or text[place : place + 1].isspace()
 
 
-def _has_boundaries(text: str) -> bool:
-    return re.search(r"[\s。！？；，、：]", text) is not None
-
-
 def split_oversized(df: DataFrame, id_col: str, text_col: str, max_chars: int, overlap: int, with_text: bool = True) -> DataFrame:
     """The pieces of every text above the limit: ``(id_col, piece_no, start, end[, piece])``.
 
-    Texts within the limit, empty and null ones give no rows. Repeated rows of one id give their
-    pieces once; if their texts differ, the longest text counts, then the last in string order.
+    Texts within the limit, empty and null ones give no rows. Repeated rows of one id give the pieces of one text:
+    the longest, and of several of that length the one with the largest hash. A null id is an id.
     Whole texts are cut; only oversized ones reach Python.
     """
     key = dict(df.select(id_col).dtypes)[id_col]
-    schema = f"`{id_col}` {key}, piece_no int, start int, `end` int" + (", piece string" if with_text else "")
+    part = "struct<start:int,end:int" + (",piece:string>" if with_text else ">")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), *([("piece", pa.string())] if with_text else [])]))
+        for batch in batches:
             rows = []
-            for item, text in zip(frame[id_col], frame["__text"], strict=True):
-                for number, (start, end) in enumerate(split_points(text, max_chars, overlap)):
-                    rows.append((item, number, start, end, text[start:end])[: 5 if with_text else 4])
-            yield pd.DataFrame(rows, columns=[id_col, "piece_no", "start", "end", *(["piece"] if with_text else [])])
+            for text in batch.column("__text").to_pylist():
+                pieces = split_points(text, max_chars, overlap)
+                rows.append([{"start": a, "end": b} | ({"piece": text[a:b]} if with_text else {}) for a, b in pieces])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, "__size", "__hash")), pa.array(rows, kind)], [id_col, "__size", "__hash", "__pieces"])
 
     over = df.select(id_col, F.col(text_col).alias("__text")).where(F.char_length("__text") > max_chars)
-    pieces = over.mapInPandas(cut, schema)
-    if with_text:
-        return pieces.groupBy(id_col, "piece_no").agg(F.max(F.struct("end", "start", "piece")).alias("p")).select(
-            id_col, "piece_no", "p.start", "p.end", "p.piece"
-        )
-    return pieces.groupBy(id_col, "piece_no").agg(F.max("start").alias("start"), F.max("end").alias("end"))
+    over = over.select(id_col, F.char_length("__text").alias("__size"), F.xxhash64("__text").alias("__hash"), "__text")
+    # all pieces of a text stay together until one text of each id is chosen
+    cut_ = over.mapInArrow(cut, f"`{id_col}` {key}, __size int, __hash bigint, __pieces array<{part}>")
+    chosen = cut_.groupBy(id_col).agg(F.max(F.struct("__size", "__hash", "__pieces")).alias("__c"))
+    return chosen.select(id_col, F.posexplode("__c.__pieces").alias("piece_no", "__p")).select(id_col, "piece_no", "__p.*")
 
 
 def _limits(spark, sf_dir: str) -> dict[str, tuple[int, int]]:
@@ -154,7 +163,21 @@ def p4_pieces(spark, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir, True).select("item_kind", "item_id", "piece_no", "start", "end", "piece")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
+def p4_tiling(spark, sf_dir: str) -> DataFrame:
+    """Of every oversized item the pieces laid end to end: what they cover without overlaps, the longest, and the overlaps that are as wanted."""
+    limits = _limits(spark, sf_dir)
+    before = Window.partitionBy("item_kind", "item_id").orderBy("piece_no")
+    rows = _both(spark, sf_dir, False).withColumn("__last", F.lag("end").over(before))
+    wanted = F.when(F.col("item_kind") == "content", limits["content"][1]).otherwise(limits["chunk"][1])
+    most = F.when(F.col("item_kind") == "content", limits["content"][0]).otherwise(limits["chunk"][0])
+    good = F.when(F.col("__last").isNull(), F.col("start") == 0).otherwise(F.col("__last") - F.col("start") == wanted)
+    return rows.groupBy("item_kind", "item_id").agg(
+        F.sum(F.col("end") - F.greatest(F.col("start"), F.coalesce("__last", F.lit(0)))).alias("covered"), F.max("end").alias("chars"),
+        F.max((F.col("end") - F.col("start") > most).cast("int")).alias("too_long"), F.min(good.cast("int")).alias("overlaps_right"),
+    )
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_tiling": p4_tiling}
 SQL = {
     "p4_found": """
 SELECT DISTINCT 'content' AS item_kind, parsed_id AS item_id FROM parsed_documents
@@ -162,4 +185,9 @@ WHERE length(content) > (SELECT max_chars FROM size_limits WHERE item_kind = 'co
 UNION ALL
 SELECT DISTINCT 'chunk', chunk_id FROM chunks
 WHERE length(text) > (SELECT max_chars FROM size_limits WHERE item_kind = 'chunk')""",
+    "p4_tiling": """
+SELECT item_kind, item_id, max(n) AS covered, max(n) AS chars, 0 AS too_long, 1 AS overlaps_right FROM (
+  SELECT 'content' AS item_kind, parsed_id AS item_id, length(content) AS n FROM parsed_documents
+  UNION ALL SELECT 'chunk', chunk_id, length(text) FROM chunks) JOIN size_limits USING (item_kind)
+WHERE n > max_chars GROUP BY item_kind, item_id""",
 }
