@@ -25,6 +25,10 @@ from .common import staged, table
 LARGE_FRACTION = 1 / 500
 #: Components in a block, on average.
 BLOCK_GROUPS = 2000
+#: Parts into which the rows of one key fall when labels are handed on.
+SALTS = 16
+#: Labels that records may have in a stratified assignment; they are the columns of a matrix.
+MOST_LABELS = 10_000
 
 
 def canonical_source(source: Column) -> Column:
@@ -57,6 +61,13 @@ def split_value(name: Column) -> Column:
     return F.when(plain.isin("train", "validation", "test"), plain)
 
 
+def salted(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """The left join of rows with the row of their key, of which many may be alike: the rows of a key fall into ``SALTS`` parts."""
+    part = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    every = of.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", part).join(every, [key, "__salt"], "left").drop("__salt")
+
+
 def connected_groups(records: DataFrame, entity_cols: list[str], kinds: list[str] | None = None, max_rounds: int = 64) -> DataFrame:
     """The component of each distinct combination of entities: ``(entity_cols..., component)``.
 
@@ -78,8 +89,10 @@ def connected_groups(records: DataFrame, entity_cols: list[str], kinds: list[str
     labels = edges.select("node").distinct().withColumn("label", F.col("node"))
     for _ in range(max_rounds):
         at_entity = edges.join(labels, "node").groupBy("entity").agg(F.min("label").alias("low"))
-        at_node = edges.join(at_entity, "entity").groupBy("node").agg(F.min("low").alias("low"))
-        jumped = at_node.join(labels.select(F.col("node").alias("low"), F.col("label").alias("lower")), "low", "left")
+        at_node = salted(edges, at_entity, "entity").groupBy("node").agg(F.min("low").alias("low"))
+        # the labels of labels: one row for each label that is left, however many nodes have it
+        above = at_node.select("low").distinct().join(labels.select(F.col("node").alias("low"), F.col("label").alias("lower")), "low")
+        jumped = salted(at_node, above, "low")
         fresh = staged(
             jumped.select("node", F.least("low", F.coalesce("lower", "low")).alias("next")).join(labels, "node").select(
                 "node", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("changed")
@@ -112,14 +125,17 @@ def stratified_assignment(counts: DataFrame, targets: list[tuple[str, float]]) -
 
     ``counts`` has ``component, label, n``: its records by label (null is a label). ``targets`` has names and
     proportions; they are scaled to a sum of 1, and a split of proportion 0 gets nothing. Depends on the
-    input only, not on the order of rows. Labels must be few (they are the columns of the count matrix).
+    input only, not on the order of rows. Labels must be few (they are the columns of the count matrix): more than
+    ``MOST_LABELS`` are an error.
     """
     names = [n for n, _ in targets]
     shares = np.array([max(0.0, p) for _, p in targets])
     shares = shares / shares.sum()
     counts = counts.withColumn("label", F.coalesce(F.col("label").cast("string"), F.lit("")))
     counts = staged(counts.groupBy("component", "label").agg(F.sum("n").cast("bigint").alias("n")), "strata")
-    by_label = {r.label: r.n for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    by_label = {r.label: r.n for r in counts.groupBy("label").agg(F.sum("n").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(by_label) > MOST_LABELS:
+        raise ValueError(f"there are more than {MOST_LABELS} labels")
     total, labels = sum(by_label.values()), sorted(by_label)
     schema = "component bigint, split string"
     if not total:
@@ -154,6 +170,7 @@ def stratified_assignment(counts: DataFrame, targets: list[tuple[str, float]]) -
 
     spread = rest.withColumn("__b", F.pmod(F.xxhash64("component"), F.lit(blocks)))
     others = spread.groupBy("__b").applyInPandas(block, schema)
+    # no block is corrected by another: each deviates by less than its smallest components
     return others if done is None else others.unionByName(done)
 
 
@@ -202,7 +219,20 @@ def p2_balance(spark, sf_dir: str) -> DataFrame:
     return by.withColumn("share", F.round(F.col("chunks") / F.sum("chunks").over(Window.partitionBy("folder")), 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance}
+def p2_proportions(spark, sf_dir: str) -> DataFrame:
+    """Of each split the files that are in another one, too, and whether its share of the rows is within a hundredth of the target."""
+    groups, splits = _assigned(spark, sf_dir)
+    rows = table(spark, sf_dir, "chunks").groupBy("source").agg(F.count("*").alias("n")).withColumn("file", canonical_source(F.col("source")))
+    rows = staged(rows.join(groups.drop("file").join(splits, "component").select("source", "split"), "source"), "assigned")
+    torn = rows.groupBy("file").agg(F.countDistinct("split").alias("splits")).where("splits > 1").select("file")
+    files = rows.join(torn, "file", "left_semi").groupBy("split").agg(F.countDistinct("file").alias("torn"))
+    share = rows.groupBy("split").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(rows.agg(F.sum("n").alias("total"))))
+    targets = table(spark, sf_dir, "split_targets").select(F.col("split_name").alias("split"), "proportion")
+    met = F.abs(F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)) - F.col("proportion")) <= 0.01
+    return targets.join(share, "split", "left").join(files, "split", "left").select("split", F.coalesce("torn", F.lit(0)).alias("torn_files"), met.cast("int").alias("near_target"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance, "p2_proportions": p2_proportions}
 FILE_SQL = """
 regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(replace(url_decode(replace(
   regexp_replace(trim(source, ' \t\n\r'), '[#?].*$', ''), '+', '%2B')), '\\', '/')),
@@ -212,4 +242,5 @@ SQL = {
 WITH c AS (SELECT {FILE_SQL} AS file, lower(trim(split_name, ' \t\n\r')) AS s FROM chunks),
 torn AS (SELECT file FROM c WHERE s IN ('train', 'validation', 'test') GROUP BY file HAVING count(DISTINCT s) > 1)
 SELECT DISTINCT parsed_id FROM parsed_documents WHERE {FILE_SQL} IN (SELECT file FROM torn)""",
+    "p2_proportions": "SELECT split_name AS split, 0 AS torn_files, 1 AS near_target FROM split_targets",
 }
