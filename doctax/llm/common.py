@@ -6,6 +6,7 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    It is the one the session names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a folder of its own is made and set.
+    It is the one the session names in ``spark.checkpoint.dir``. Only where that is unset and all runs in one process on one
+    machine, as in tests, a folder of its own is made and set; on a cluster that is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="doctax-shared-")
     context.setCheckpointDir(own)
     return own

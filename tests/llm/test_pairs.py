@@ -34,6 +34,23 @@ def test_top_n_repeated_rows_and_empty(spark):
     assert topn.top_n_per_group(df.limit(0), ["g"], "score", "id", 5).count() == 0
 
 
+def test_shared_folder_is_a_must_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from doctax.llm import common
+
+    unset = N(getConf=lambda: {}, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))), master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(N(sparkContext=unset, conf=N(get=lambda *_: None)))
+
+
+def test_labels_must_be_few(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MOST_LABELS", 3)
+    counts = spark.createDataFrame([(i, str(i), 1) for i in range(4)], "component bigint, label string, n bigint")
+    with pytest.raises(ValueError, match="labels"):
+        splits.stratified_assignment(counts, [("a", 1.0)])
+
+
 def test_cutoffs_hold_exactly_n():
     rng = np.random.default_rng(0)
     group, code = rng.integers(0, 40, 5000), rng.integers(0, 1 << 63, 5000).astype(np.uint64)

@@ -36,6 +36,31 @@ def test_split_oversized(spark):
     assert chunking.split_oversized(df.limit(0), "id", "t", 10, 2).count() == 0
 
 
+def test_pieces_of_an_id_with_two_texts_are_of_one(spark):
+    rows = [(1, "word " * 30), (1, "other things here " * 9), (1, "short"), (2, "aaaa bbbb " * 4), (2, "cccc dddd " * 4), (None, "x y " * 20)]
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(4)
+    for with_text in (True, False):
+        by = {}
+        for r in chunking.split_oversized(df, "id", "t", 35, 5, with_text).collect():
+            by.setdefault(r.id, []).append(r)
+        assert set(by) == {1, 2, None}
+        for i, pieces in by.items():
+            pieces.sort(key=lambda r: r.piece_no)
+            size = max(len(t) for k, t in rows if k == i)
+            assert pieces[0].start == 0 and pieces[-1].end == size and all(x.end - y.start == 5 for x, y in zip(pieces, pieces[1:]))
+            if with_text:
+                whole = pieces[0].piece + "".join(r.piece[5:] for r in pieces[1:])
+                assert (i, whole) in rows
+
+
+def test_cuts_find_a_boundary_after_more_pieces():
+    text = "a" * 30 + " " + "b" * 95 + " " + "c" * 40
+    pieces = chunking.split_points(text, 100, 0)
+    assert all(text[a - 1].isspace() for a, _ in pieces[1:])
+    blanks = "x" * 50 + " " * 900 + "y" * 50
+    assert all(b - a <= 60 for a, b in chunking.split_points(blanks, 60, 0))
+
+
 def brute_flow(x, q, p):
     m = len(x)
     pc = np.array([((x < a).sum() + ((x == a).sum() - 1) / 2) / (m - 1) if m > 1 else 0.5 for a in x])
@@ -184,6 +209,50 @@ def test_template_of_pages_that_are_not_the_richest(spark):
     assert all(got[100 + i].startswith(f"words {i} 0") for i in range(10)) and got[203] == "Equal pages are one page" and "# Part 7" in got[7]
 
 
+def _tree(rng, depth):
+    return f"<{(t := rng.choice('bius'))}>" + "".join(_tree(rng, depth - 1) if depth and rng.random() < 0.6 else "x" for _ in range(rng.randint(0, 3))) + f"</{t}>"
+
+
+def test_mapping_is_the_largest_and_keeps_order(monkeypatch):
+    def best(a, b):
+        if a.tag != b.tag:
+            return 0
+        rows = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children):
+            for j, y in enumerate(b.children):
+                rows[i + 1][j + 1] = max(rows[i][j + 1], rows[i + 1][j], rows[i][j] + best(x, y))
+        return 1 + rows[-1][-1]
+
+    rng = random.Random(4)
+    for k in range(150):
+        if k == 100:  # a band as wide as the rows changes nothing
+            monkeypatch.setattr(markup, "FULL_ROWS", 0)
+        shapes, memo = {}, {}
+        a, b = (markup.parse_page("".join(_tree(rng, 3) for _ in range(rng.randint(1, 5))), shapes) for _ in range(2))
+        assert markup.match_trees(a, b, memo) == best(a, b)
+        place = {id(c): j for j, c in enumerate(b.children)}
+        pairs = sorted((i, place[id(y)]) for i, _, y in markup._mapped(a.children, b.children, memo))
+        assert all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:]))
+        assert sum(best(a.children[i], y) for i, _, y in markup._mapped(a.children, b.children, memo)) == best(a, b) - 1
+    monkeypatch.setattr(markup, "BAND", 3)
+    one, two = (markup.parse_page("".join(f"<p>{i}</p><b>x</b>" for i in range(n)), {}) for n in (300, 290))
+    assert markup.match_trees(one, two, {}) > 500
+
+
+def test_marks_of_the_template_are_apart(spark):
+    pages = [(i, f"<nav>[[Home]]</nav><p>text {i}</p># not a list {i}\n* part", "h") for i in range(5)] + [(9, "<nav>[[Home]]</nav><p>[[Risk|x]]</p>\n# one\n# two", "h")]
+    got = {r.id: r.markup for r in markup.clean_markup(spark.createDataFrame(pages, "id bigint, c string, host string"), "id", "c", "host").collect()}
+    assert got[1] == ["html", "markdown", "wiki"] and got[9] == ["html", "wiki"]
+
+
+def test_markup_without_caps():
+    deep = "<div>" * 1500 + "inner" + "</div>" * 1500
+    assert markup.clean_text(deep)[0] == "inner"
+    long = "\\[" + "x + " * 500 + "y\\]"
+    assert markup.find_marks(long) == {"latex"} and markup.clean_text("\\emph{a \\textbf{b \\emph{c \\textit{d \\emph{e}}}}}")[0] == "a b c d e"
+    assert markup.find_marks("\\usepackage[" + "a," * 300 + "b]{c}") == {"latex"}
+
+
 RESIDUE = ["Error 404: Page not found", "Dear {{name}}, welcome.", "This policy is owned by [insert name here].", "Please enable JavaScript to view this page.", "Lorem ipsum dolor sit amet", "Traceback (most recent call last):", "Contact <Add department> please", "找不到页面。"]
 PROSE = ["The message \"access denied\" must not reveal why records are locked.", "Names in square brackets are placeholders and the editor fills them.", "The annex [see item 9] and the table [404] describe records.", "The notice that JavaScript is required must be offered in every language.", "It cost $4,700 instead of $76,600.", "total += 1"]
 
