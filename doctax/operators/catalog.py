@@ -52,8 +52,9 @@ def collapse_variants(catalogue: DataFrame) -> DataFrame:
 
 
 def mapping_links(catalogue: DataFrame) -> DataFrame:
-    """All mappings as rows ``(id, predicate, target)``; null and empty lists give none."""
-    kinds = [F.struct(F.lit(m.removesuffix("_mappings")).alias("predicate"), F.coalesce(F.col(m), F.array().cast("array<string>")).alias("targets")) for m in MAPPINGS]
+    """All mappings as rows ``(id, predicate, target)``; null and empty lists give none, nor do columns that the catalogue hasn't."""
+    none = F.array().cast("array<string>")
+    kinds = [F.struct(F.lit(m.removesuffix("_mappings")).alias("predicate"), (F.coalesce(F.col(m), none) if m in catalogue.columns else none).alias("targets")) for m in MAPPINGS]
     return catalogue.select("id", F.explode(F.array(*kinds)).alias("m")).select("id", "m.predicate", F.explode("m.targets").alias("target"))
 
 

@@ -51,6 +51,9 @@ class Lexical:
         text = payload.get("text") or ""
         if stage == "queries":
             return [s.strip() for s in re.findall(r"[^.!?]+[.!?]*", text)[:3] if s.strip()]
+        if stage == "causal":
+            risk = (payload.get("risks") or [{}])[0]
+            return [{"threat": risk.get("risk_name", ""), "threat_source": "", "vulnerability": "", "consequence": risk.get("risk_description", ""), "impact": ""}]
         have, out = self._words(text), []
         for risk in payload.get("risks", []):
             need = self._words(risk.get("risk_name", ""))

@@ -68,6 +68,41 @@ def test_borderline_is_promoted_without_a_judge(spark, catalogue):
     assert set(got) >= {"r1", "r3"} and set(got.values()) == {"threshold", "auto_promoted"}
 
 
+def test_families_siblings_and_chains(spark):
+    rows = [("fam---a", "bias in hiring", "unfair hiring", None, None, "t", "h"), ("fam---b", "unjust loan terms", "unfair lending", None, None, "t", "h"), ("s1", "privacy notice", "people are told", None, None, "t", "g"), ("s2", "leakage of data", "data leaves", None, None, "t", "g")]
+    rows += [(f"x{i}", f"other topic {i}", f"something else {i}", None, None, "t", None) for i in range(6)]
+    entries = spark.createDataFrame([(*r, None, None, None, None, ["s1"] if r[0] == "s2" else None) for r in rows], CATALOGUE + ", exact_mappings array<string>, close_mappings array<string>, broad_mappings array<string>, narrow_mappings array<string>, related_mappings array<string>")
+    docs = spark.createDataFrame([(1, "There was leakage of data. A privacy notice was missing."), (2, "We saw bias in hiring (2 variants) of people.")], "doc_id bigint, text string")
+    actions = spark.createDataFrame([("s2", "act-1"), ("s2", "act-2")], "risk_id string, action_id string")
+    config = RunConfig(score_floor=0.1, accept=1, judge=0, grounding_passes=2, causal_synthesis=True)
+    result = pipeline.run_extraction(docs, entries, config, actions=actions)
+    got = {r.risk_id: r for r in result["merged"].collect()}
+    assert got["s2"].accepted_by == "threshold" and got["s2"].actions == ["act-1", "act-2"] and got["s2"].threat == "leakage of data" and got["s2"].threat_source is None
+    assert got["s1"].accepted_by == "expansion" and got["s1"].confidence == 0 and got["s1"].evidence[0].query_id == "1#0" and "privacy notice" in got["s1"].evidence[0].text
+    assert "fam" not in got and "fam---b" not in got
+    assert {r.stage for r in providers.usage(result["calls"]).collect()} >= {"ground", "expand", "causal"}
+    alone = pipeline.run_extraction(docs, entries, RunConfig(score_floor=0.1, accept=1, judge=0, expand_siblings=False))["merged"]
+    assert "s1" not in {r.risk_id for r in alone.collect()}
+
+
+def test_batches_and_passes_of_calls(spark):
+    rows = spark.createDataFrame([("q", f"r{i}", "n", "d") for i in range(7)], "query_id string, risk_id string, name string, description string")
+    texts = spark.createDataFrame([("q", "text")], "query_id string, text string")
+    got = {r.key: json.loads(r.payload) for r in pipeline.payloads(rows, texts, 3, 2).collect()}
+    assert set(got) == {f"q@{b}@{p}" for b in range(3) for p in (1, 2)} and [x["risk_id"] for x in got["q@2@1"]["risks"]] == ["r6"]
+    assert len(pipeline.payloads(rows, texts, 0).collect()) == 1
+
+
+def test_generated_queries_reach_every_chunk_of_their_run(spark, catalogue):
+    docs = spark.createDataFrame([(1, "We saw data leakage last year.\n" + "filler words here\n" * 200), (2, "nothing that any entry has xyzzy")], "doc_id bigint, text string")
+    config = RunConfig(chunk_tokens=256, query_generation=True, use_judge=False, use_grounding=False, score_floor=0.0, top=3)
+    result = pipeline.run_extraction(docs, catalogue, config)
+    seen = {(r.query_id, r.risk_id): r["class"] for r in result["candidates"].collect()}
+    chunks = [r.query_id for r in result["chunks"].where("doc_id = 1").collect()]
+    assert len(chunks) > 2 and all(seen.get((q, "r1")) == "accepted" for q in chunks)
+    assert "queries" in {r.stage for r in providers.usage(result["calls"]).collect()}
+
+
 def test_provider_errors_are_rows(spark):
     class Broken:
         def __call__(self, stage, payload):
