@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import precision_recall
+from ..shared import settled
 
 #: Thresholds of the sweep, apart from the steps of 0.01 from 0.05 to 0.98.
 FIXED_THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7)
@@ -34,6 +35,27 @@ def passed(recall, precision, min_recall: float = 0.8, min_precision: float = 0.
     return (recall >= min_recall) & (precision >= min_precision)
 
 
+def heatmap(rows: DataFrame, value: str, group: str = "policy", column: str = "taxonomy") -> DataFrame:
+    """Rows of scores as a table with a column for each value of ``column`` that there is."""
+    return rows.groupBy(group).pivot(column).agg(F.max(value))
+
+
+def extraction_f1(names: DataFrame, matched: DataFrame, group: str, definitional: tuple[str, ...] = ()) -> DataFrame:
+    """Precision, recall and F1 of matched names of each group: ``(group, expected, predicted, matched, precision, recall, f1)``.
+
+    ``names`` and ``matched`` are those of ``match_names``; predicted names that are only definitions don't count. Nothing expected is
+    recalled wholly; nothing predicted is precise only if nothing was expected.
+    """
+    usable = names.where((F.col("side") != "predicted") | ~F.lower(F.trim("name")).isin(*definitional)) if definitional else names
+    counts = usable.groupBy(group).agg(F.count_if(F.col("side") == "expected").alias("expected"), F.count_if(F.col("side") == "predicted").alias("predicted"))
+    both = counts.join(matched.groupBy(group).agg(F.count("*").alias("matched")), group, "left").fillna(0, ["matched"])
+    p = F.when(F.col("predicted") > 0, F.col("matched") / F.col("predicted")).otherwise((F.col("expected") == 0).cast("double"))
+    r = F.when(F.col("expected") > 0, F.col("matched") / F.col("expected")).otherwise(F.lit(1.0))
+    both = both.withColumn("__p", p).withColumn("__r", r)
+    f = F.when(F.col("__p") + F.col("__r") > 0, 2 * F.col("__p") * F.col("__r") / (F.col("__p") + F.col("__r"))).otherwise(F.lit(0.0))
+    return both.select(group, "expected", "predicted", "matched", F.round("__p", 6).alias("precision"), F.round("__r", 6).alias("recall"), F.round(f, 6).alias("f1"))
+
+
 def differences(sets: DataFrame, groups: list[str], item: str) -> DataFrame:
     """Sorted matched, missing and spurious items of each group."""
     pick = lambda cond: F.array_sort(F.collect_set(F.when(F.expr(cond), F.col(item))))
@@ -73,15 +95,18 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def auc_trapz(pairs: DataFrame) -> DataFrame:
     """``auc`` of ``label, score`` by trapezes between distinct scores, from the highest score on; one class only gives 0.
 
-    Equal scores are counted first: the window runs over distinct scores.
+    Equal scores are counted first. Sums run within ranges of scores and are lifted by the totals of the ranges above, so
+    that no task has all scores: a trapeze is the negatives of a score times the positives above it and half of its own.
     """
     at = pairs.groupBy("score").agg(F.sum("label").alias("tp"), F.sum(1 - F.col("label")).alias("fp"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    at = settled(at.repartitionByRange(F.desc("score")).withColumn("__r", F.spark_partition_id()))
     total = at.agg(F.sum("tp").alias("p"), F.sum("fp").alias("n"))
-    curve = at.select("score", F.sum("tp").over(w).alias("tp"), F.sum("fp").over(w).alias("fp"))
-    before = Window.orderBy(F.desc("score"))
-    area = curve.select((F.col("fp") - F.lag("fp").over(before)).alias("dx"), ((F.col("tp") + F.lag("tp").over(before)) / 2).alias("y"))
-    summed = area.agg(F.sum(F.col("dx") * F.col("y")).alias("s"))
+    # one row a range
+    ranges = at.groupBy("__r").agg(F.sum("tp").alias("__t"))
+    above = ranges.select("__r", F.coalesce(F.sum("__t").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"))
+    w = Window.partitionBy("__r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = at.join(F.broadcast(above), "__r").withColumn("__tp", F.col("__above") + F.sum("tp").over(w))
+    summed = reached.agg(F.sum(F.col("fp") * (F.col("__tp") - F.col("tp") / 2)).alias("s"))
     auc = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("s") / (F.col("p") * F.col("n"))).otherwise(F.lit(0.0))
     return summed.crossJoin(total).select(F.round(F.coalesce(auc, F.lit(0.0)), 6).alias("auc"))
 

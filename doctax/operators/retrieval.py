@@ -163,6 +163,27 @@ def maxsim(texts: DataFrame, queries: DataFrame) -> DataFrame:
     return q.crossJoin(d).select("query_id", "id", score.alias("score"))
 
 
+def late_interaction(texts: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """The ``top`` texts of a query by ``maxsim`` with a positive score, rounded to 5 digits: ``(query_id, id, score, place)``."""
+    scored = maxsim(texts, queries).withColumn("score", F.round("score", 5)).where("score > 0")
+    return best(scored, ["query_id"], "score", "id", top)
+
+
+def hybrid_late(lexical: DataFrame, late: DataFrame, keys: list[str], id_col: str, top: int = 10, rescue_rank: int = 0) -> DataFrame:
+    """BM25 and late interaction fused: the ``top`` by the sum of reciprocal ranks, with the late score as ``cross_encoder_score`` (0 if it has none).
+
+    ``lexical`` has ``bm25_rank``, ``late`` ``score`` and ``place``. What BM25 ranks up to ``rescue_rank`` is added if it was lost.
+    """
+    a = lexical.where("bm25_rank > 0").select(*keys, id_col, F.col("bm25_rank").cast("bigint").alias("bm25_rank"))
+    b = late.where("score > 0").select(*keys, id_col, "score", F.col("place").cast("bigint").alias("late_rank"))
+    fused = a.join(b, [*keys, id_col], "full_outer").withColumn("rrf", F.round(rrf_term(F.col("bm25_rank")) + rrf_term(F.col("late_rank")), 6))
+    order = Window.partitionBy(*keys).orderBy(F.desc("rrf"), F.asc(id_col))
+    placed = fused.withColumn("place", F.row_number().over(order).cast("bigint"))
+    rescued = F.coalesce(F.col("bm25_rank") <= rescue_rank, F.lit(False))
+    kept = placed.where((F.col("place") <= top) | rescued)
+    return kept.select(*keys, id_col, "bm25_rank", "rrf", F.coalesce("score", F.lit(0.0)).alias("cross_encoder_score"), (F.col("place") > top).alias("rescued"))
+
+
 def ranked_lists(candidates: DataFrame, keys: list[str], id_col: str, top: int = 100) -> DataFrame:
     """Candidates with ``lexical_rank`` (``bm25_rank`` above 0) and ``dense_rank`` (place by distance), each up to ``top``.
 

@@ -177,9 +177,10 @@ def macro_micro(spark, d):
 
 
 def heatmap_pivot(spark, d):
+    """The cells of the heat-maps, of every policy and taxonomy."""
     known = _catalogue(spark, d).select(F.col("id").alias("risk_id"), F.col("isdefinedbytaxonomy").alias("taxonomy"))
-    rows = evaluate.scored(_sets(spark, d).join(known, "risk_id"), ["policy", "taxonomy"])
-    return rows.groupBy("policy").pivot("taxonomy", ["civic-scale", "harbour-list", "lantern", "mlr-2", "tessera"]).agg(F.max("f1"))
+    rows = evaluate.scored(_sets(spark, d).join(known, "risk_id", "left").fillna("unknown", ["taxonomy"]), ["policy", "taxonomy"])
+    return rows.select("policy", "taxonomy", "f1", "recall", "precision")
 
 
 def differences(spark, d):
@@ -454,8 +455,8 @@ a AS (SELECT round(avg(precision), 6) AS macro_precision, round(avg(recall), 6)
 z AS (SELECT *, {_prf()} FROM a)
 SELECT macro_precision, macro_recall, macro_f1, passed, precision AS micro_precision, recall AS micro_recall, f1 AS micro_f1 FROM z""",
     "heatmap_pivot": f"""
-WITH {_SETS}, c AS (SELECT policy, isdefinedbytaxonomy AS taxonomy, {_COUNTS} FROM sets JOIN catalogue ON id = risk_id GROUP BY ALL), s AS (SELECT *, {_prf()} FROM c)
-SELECT policy, """ + ", ".join(f"max(f1) FILTER (taxonomy = '{x}') AS \"{x}\"" for x in ("civic-scale", "harbour-list", "lantern", "mlr-2", "tessera")) + " FROM s GROUP BY policy",
+WITH {_SETS}, c AS (SELECT policy, coalesce(isdefinedbytaxonomy, 'unknown') AS taxonomy, {_COUNTS} FROM sets LEFT JOIN catalogue ON id = risk_id GROUP BY ALL), s AS (SELECT *, {_prf()} FROM c)
+SELECT policy, taxonomy, f1, recall, precision FROM s""",
     "differences": f"""
 WITH {_SETS} SELECT policy, coalesce(string_agg(risk_id, ',' ORDER BY risk_id) FILTER (e = 1 AND x = 1), '') AS matched,
   coalesce(string_agg(risk_id, ',' ORDER BY risk_id) FILTER (e = 1 AND x = 0), '') AS missing, coalesce(string_agg(risk_id, ',' ORDER BY risk_id) FILTER (e = 0 AND x = 1), '') AS spurious

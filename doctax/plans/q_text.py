@@ -102,9 +102,16 @@ def risk_text(spark, d):
 
 
 def table_serialise(spark, d):
-    rows = t.table(spark, d, "mix_targets")
-    lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("source", "max_repeats")]
-    return rows.select("source", F.concat_ws("\n", F.lit("```"), *lines, F.lit("```")).alias("block"))
+    """Each target as a table of one row, all its columns."""
+    names = ["source", "target_share", "max_repeats"]
+
+    def serialise(frames):
+        for frame in frames:
+            frame["block"] = [chunking.table_text(names, [row]) for row in frame[names].values.tolist()]
+            yield frame[["source", "block"]]
+
+    rows = t.table(spark, d, "mix_targets").select("source", *(F.col(c).cast("string") for c in names[1:])).fillna("")
+    return rows.mapInPandas(serialise, "source string, block string")
 
 
 def prompt_hash(spark, d):
@@ -194,6 +201,8 @@ SELECT parent_id, head || ' (' || n || ' variants)', labels, n FROM fam WHERE pa
     "mapping_counts": f"WITH {_LINKS} SELECT id, predicate, count(*) AS n FROM link GROUP BY id, predicate",
     "cleaned_descriptions": "SELECT id, CASE WHEN name || description IS NULL THEN '' ELSE description END AS clean FROM catalogue",
     "risk_text": "SELECT id, concat_ws('. ', name, nullif(substr(description, 1, 300), ''), nullif(substr(concern, 1, 200), '')) AS text FROM catalogue",
-    "table_serialise": "SELECT source, concat_ws(chr(10), '```', 'source: ' || source, 'max_repeats: ' || coalesce(CAST(max_repeats AS VARCHAR), ''), '```') AS block FROM mix_targets",
+    "table_serialise": """
+SELECT source, concat_ws(chr(10), '<!-- table -->', '', '```', 'source: ' || source, 'target_share: ' || coalesce(CAST(target_share AS VARCHAR), ''),
+  'max_repeats: ' || coalesce(CAST(max_repeats AS VARCHAR), ''), '```', '', '<!-- /table -->') AS block FROM mix_targets""",
     "prompt_hash": "SELECT id, sha256(coalesce(name, '') || coalesce(description, '')) AS digest FROM catalogue",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that hold QUERIES and SQL.
-MODULES: tuple[str, ...] = (".q_text", ".q_search", ".q_eval", ".q_stream")
+MODULES: tuple[str, ...] = (".q_text", ".q_search", ".q_eval", ".q_mining", ".q_stream")
 
 
 def queries() -> dict[str, Query]:
