@@ -47,8 +47,8 @@ MAP_WORDS = 8
 SIGNATURE, SEGMENT = 48, 16
 #: A tier reaches from a size to so many times that size.
 TIER = 8
-#: Shuffle, hashing and sorting of one key cost as much as so many hits in inverted lists.
-KEY_COST = 30.0
+#: Making, shuffling and sorting of one key cost as much as so many hits in inverted lists (measured: 2.5 microseconds against 10 nanoseconds).
+KEY_COST = 250.0
 #: Pairs of hits that are looked at in one go.
 BLOCK = 1 << 15
 #: A list of more entries than this is split into blocks of about so many.

@@ -192,10 +192,24 @@ def test_no_texts(spark):
 
 def test_boundary_by_cost():
     sizes = {8: 100_000, 100: 100_000}
-    assert neardup.small_boundary(sizes, 1e3, 0.5) == 8
+    assert neardup.small_boundary(sizes, 1e4, 0.5) == 8
     assert neardup.small_boundary(sizes, 1.0, 0.5) == 0
 
 
+def test_small_sets_enumerate_pairs_by_cost(spark):
+    rng = np.random.default_rng(3)
+    drawn = rng.integers(0, 18, (4000, 9))
+    rows = [(i, " ".join(f"v{x}" for x in row)) for i, row in enumerate(drawn)]
+    join = neardup.SimilarSets(spark.createDataFrame(rows, "id bigint, t string").repartition(3), "id", "t", 1, 0.8)
+    assert join.boundary > 0
+    has = np.zeros((4000, 18))
+    has[np.arange(4000)[:, None], drawn] = 1
+    size, common = has.sum(1), has @ has.T
+    a, b = np.nonzero(np.triu(common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-9, 1))
+    got = neardup.expanded(join.links(), join.members, None).unionByName(neardup.copy_pairs(join.members))
+    assert {(r.a, r.b) for r in got.distinct().collect()} == set(zip(a.tolist(), b.tolist()))
+
+
 def test_overlaps_equal_brute_force(spark):
     rows = texts(160, 9)
     split = [random.Random(i).choice(["train", "test", "validation", None]) for i in range(len(rows))]
