@@ -28,6 +28,7 @@ AGENTIC_PHRASES = (
     "agentic", "ai agent", "ai agents", "autonomous agent", "autonomous agents", "agent framework", "tool-calling", "tool calling",
     "function calling", "agentic ai", "agentic system", "agentic systems", "multi-agent", "multiagent",
 )
+# Words without content.
 STOPWORDS = ("a", "an", "the", "of", "for", "in", "on", "to", "and", "or", "by", "with", "is", "are", "be", "that", "this", "from", "at", "as")
 DEFINITION = " is defined as "
 

@@ -136,6 +136,12 @@ def test_readers(spark, tmp_path):
     assert documents.resolve_runs([str(tmp_path)])[tmp_path.name][0].endswith("a.txt")
 
 
+def test_report_says_where_it_ends(spark, tmp_path):
+    rows = spark.range(5)
+    assert "The first 3 rows." in sinks.report(rows, "t", str(tmp_path / "a.html"), 3)
+    assert "The first" not in sinks.report(rows, "t", str(tmp_path / "b.html"), 5)
+
+
 def test_prompt_registry(spark):
     prompts = spark.createDataFrame([("judge", "s", "u"), ("ground", None, "u")], "name string, system string, user string")
     first = sinks.changed_prompts(prompts, spark.createDataFrame([], "name string, digest string"))
