@@ -19,9 +19,10 @@ import html.entities
 import html.parser
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,11 @@ LANGUAGES = ("html", "markdown", "wiki", "latex")
 TEMPLATE_PAGES, TEMPLATE_SHARE, TEMPLATE_EQUAL = 3, 0.05, 0.5
 #: Bytes of seeds or templates of all hosts that may be sent to every task; beyond, each page row carries those of its host.
 SENT_BYTES = 32 << 20
-#: Two rows of children whose lengths have a larger product are aligned within a band of this many places.
+#: Two rows of children whose lengths have a larger product are aligned without the whole table: about so many of its rows
+#: at a time are kept, and the others worked out again. The mapping is the same.
 FULL_ROWS, BAND = 1_000_000, 256
+#: Pairs of shapes whose mapping sizes are kept at once.
+MEMO_PAIRS = 1_000_000
 #: Elements below so many others are read as children of the last.
 DEEPEST = 5000
 
@@ -265,12 +269,14 @@ def match_trees(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
     if a.shape == b.shape:
         return a.size
     key = (a.shape, b.shape)
-    if key not in memo:
+    if (size := memo.get(key)) is None:
         head, tail = _ends(a.children, b.children)
         same = sum(c.size for c in a.children[:head]) + sum(c.size for c in a.children[len(a.children) - tail :])
-        rows, _ = _rows(a.children[head : len(a.children) - tail], b.children[head : len(b.children) - tail], memo)
-        memo[key] = 1 + same + rows[-1][-1]
-    return memo[key]
+        size = 1 + same + _best(a.children[head : len(a.children) - tail], b.children[head : len(b.children) - tail], memo)
+        if len(memo) >= MEMO_PAIRS:
+            memo.clear()
+        memo[key] = size
+    return size
 
 
 def _ends(left: list[Node], right: list[Node]) -> tuple[int, int]:
@@ -283,30 +289,101 @@ def _ends(left: list[Node], right: list[Node]) -> tuple[int, int]:
     return head, tail
 
 
-def _rows(left: list[Node], right: list[Node], memo: dict) -> tuple[list[list[int]], list[int]]:
-    """Row by row the best sizes for the first children of both, and where each row begins.
-
-    A row is whole, or for very many children a band around the diagonal.
-    """
-    wide = len(left) * len(right) <= FULL_ROWS
-    starts = [0 if wide else max(0, i * len(right) // max(1, len(left)) - BAND) for i in range(len(left) + 1)]
-    ends = [len(right) if wide or i == len(left) else min(len(right), i * len(right) // max(1, len(left)) + BAND + len(right) // max(1, len(left))) for i in range(len(left) + 1)]
-    rows = [[0] * (ends[0] - starts[0] + 1)]
-    for i, x in enumerate(left, 1):
-        above, before, row = rows[-1], starts[i - 1], []
-        for j in range(starts[i], ends[i] + 1):
-            at = j - before
-            best = above[min(at, len(above) - 1)]
-            if row and row[-1] > best:
-                best = row[-1]
-            if j and at >= 1:
-                y = right[j - 1]
-                if x.tag == y.tag:
-                    weight = above[min(at - 1, len(above) - 1)] + (x.size if x.shape == y.shape else match_trees(x, y, memo))
-                    best = weight if weight > best else best
+def _rows(left: list[Node], right: list[Node], memo: dict) -> list[list[int]]:
+    """Row by row the best sizes for the first children of both."""
+    rows = [[0] * (len(right) + 1)]
+    for x in left:
+        above, row = rows[-1], [0]
+        for j, y in enumerate(right):
+            best = above[j + 1] if above[j + 1] > row[j] else row[j]
+            if x.tag == y.tag:
+                weight = above[j] + (x.size if x.shape == y.shape else match_trees(x, y, memo))
+                best = weight if weight > best else best
             row.append(best)
         rows.append(row)
-    return rows, starts
+    return rows
+
+
+def _weights(right: list[Node], memo: dict) -> Callable[[Node], np.ndarray]:
+    """Gives for a child on the left the sizes of its mappings with each on the right; children of one shape are alike."""
+    kinds = {y.shape: y for y in right}
+    numbers = {shape: k for k, shape in enumerate(kinds)}
+    kind = np.array([numbers[y.shape] for y in right], np.intp)
+    known: dict[int, np.ndarray] = {}
+
+    def weigh(x: Node) -> np.ndarray:
+        if x.shape not in known:
+            if len(known) * len(kinds) > MEMO_PAIRS:
+                known.clear()
+            known[x.shape] = np.array([match_trees(x, y, memo) for y in kinds.values()], np.int32)
+        return known[x.shape][kind]
+
+    return weigh
+
+
+def _below(above: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The row of best sizes that follows ``above``, as in ``_rows``."""
+    row = above.copy()
+    np.maximum(above[1:], above[:-1] + weights, out=row[1:])
+    return np.maximum.accumulate(row)
+
+
+def _best(left: list[Node], right: list[Node], memo: dict) -> int:
+    """The size of a best mapping of children."""
+    if len(left) * len(right) <= FULL_ROWS:
+        return _rows(left, right, memo)[-1][-1]
+    weigh, row = _weights(right, memo), np.zeros(len(right) + 1, np.int32)
+    for x in left:
+        row = _below(row, weigh(x))
+    return int(row[-1])
+
+
+def _step(above, row, j: int) -> tuple[int, bool]:
+    """How many of the first j on the right are left for the row above, and whether the one after these is mapped."""
+    while j:
+        if row[j] == above[j]:
+            return j, False
+        j -= 1
+        if row[j + 1] != row[j]:
+            return j, True
+    return 0, False
+
+
+def _places(left: list[Node], right: list[Node], memo: dict) -> list[tuple[int, int]]:
+    """The places of the pairs of a best mapping of children, from the last."""
+    pairs: list[tuple[int, int]] = []
+
+    def back(rows: list, first: int, j: int) -> int:
+        for i in range(len(rows) - 1, 0, -1):
+            j, pair = _step(rows[i - 1], rows[i], j)
+            if pair:
+                pairs.append((first + i - 1, j))
+        return j
+
+    def part(first: int, end: int, row: np.ndarray, j: int) -> int:
+        """Maps the children from ``first`` to ``end``, with ``row`` above them, to the first j; gives how many of these are left."""
+        if not j:
+            return 0
+        every = -(-(end - first) // BAND)
+        begins = range(first, end, every)
+        row = row[: j + 1]
+        kept = [row]
+        for i in range(first, end if every == 1 else begins[-1]):
+            row = _below(row, weigh(left[i])[:j])
+            if (i + 1 - first) % every == 0:
+                kept.append(row)
+        if every == 1:
+            return back(kept, first, j)
+        for begin in reversed(begins):
+            j = part(begin, min(end, begin + every), kept.pop(), j)
+        return j
+
+    if len(left) * len(right) <= FULL_ROWS:
+        back(_rows(left, right, memo), 0, len(right))
+    else:
+        weigh = _weights(right, memo)
+        part(0, len(left), np.zeros(len(right) + 1, np.int32), len(right))
+    return pairs
 
 
 def _mapped(left: list[Node], right: list[Node], memo: dict) -> list[tuple[int, Node, Node]]:
@@ -315,18 +392,7 @@ def _mapped(left: list[Node], right: list[Node], memo: dict) -> list[tuple[int,
     pairs = [(i, left[i], right[i]) for i in range(head)]
     pairs += [(len(left) - k, left[-k], right[-k]) for k in range(1, tail + 1)]
     inner, other = left[head : len(left) - tail], right[head : len(right) - tail]
-    rows, starts = _rows(inner, other, memo)
-    value = lambda i, j: rows[i][min(max(0, j - starts[i]), len(rows[i]) - 1)]
-    i, j = len(inner), len(other)
-    while i and j:
-        if value(i, j) == value(i - 1, j):
-            i -= 1
-        elif j > starts[i] and value(i, j) == value(i, j - 1):
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((head + i, inner[i], other[j]))
-    return pairs
+    return pairs + [(head + i, inner[i], other[j]) for i, j in _places(inner, other, memo)]
 
 
 def mapped_texts(seed: Node, page: Node, memo: dict, path: str = "") -> Iterator[tuple[str, str, str]]:

@@ -239,6 +239,29 @@ def test_mapping_is_the_largest_and_keeps_order(monkeypatch):
     assert markup.match_trees(one, two, {}) > 500
 
 
+def test_long_rows_of_children_are_aligned_whole(spark, monkeypatch):
+    long = lambda i, p, h: "".join(f"<p>words {i} {j}</p>" for j in range(p)) + "<div><a>Home</a></div>" + "".join(f"<h2>part {i} {j}</h2>" for j in range(h))
+    shapes = {}
+    one, two = (markup.parse_page(long(0, *n), shapes) for n in ((1500, 300), (300, 1500)))
+    assert markup.match_trees(one, two, {}) == 1 + 2 * 300 + 3 + 2 * 300
+    texts = list(markup.mapped_texts(one, two, {}))
+    assert len(texts) == 601 and ("Home", "Home") in {(w, o) for _, w, o in texts}
+    pages = [(i, long(i, *n), "h") for i, n in enumerate(((1800, 100), (1200, 700), (700, 1200), (100, 1800)))]
+    got = markup.clean_markup(spark.createDataFrame(pages, "id bigint, c string, host string"), "id", "c", "host").collect()
+    assert len(got) == 4 and all("Home" not in r.clean and f"words {r.id} 99" in r.clean and f"# part {r.id} 99" in r.clean for r in got)
+
+    rng = random.Random(5)
+    for _ in range(60):  # the same mapping, whichever rows and pairs are kept
+        shapes = {}
+        a, b = (markup.parse_page("".join(_tree(rng, 3) for _ in range(rng.randint(1, 30))), shapes) for _ in range(2))
+        found = []
+        for full, band, pairs in ((1_000_000, 256, 1_000_000), (0, 256, 1_000_000), (0, 2, 1_000_000), (9, 3, 1)):
+            for name, value in (("FULL_ROWS", full), ("BAND", band), ("MEMO_PAIRS", pairs)):
+                monkeypatch.setattr(markup, name, value)
+            found.append((markup.match_trees(a, b, {}), list(markup.mapped_texts(a, b, {}))))
+        assert all(x == found[0] for x in found)
+
+
 def test_marks_of_the_template_are_apart(spark):
     pages = [(i, f"<nav>[[Home]]</nav><p>text {i}</p># not a list {i}\n* part", "h") for i in range(5)] + [(9, "<nav>[[Home]]</nav><p>[[Risk|x]]</p>\n# one\n# two", "h")]
     got = {r.id: r.markup for r in markup.clean_markup(spark.createDataFrame(pages, "id bigint, c string, host string"), "id", "c", "host").collect()}
